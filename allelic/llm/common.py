@@ -86,3 +86,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 def crc32_of_id(col: str) -> Column:
     """crc32 of an id written as text, as the held-out folds use it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+#: Ids that are broadcast to leave documents out; more of them meet the documents in a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``dropped`` (a saved table); texts stay in place if the ids are few."""
+    ids = dropped.select("doc_id")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
