@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from .common import drop, join_groups, save
 
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 512
-#: MinHash values of a document.
+#: MinHash values of a document for its bands.
 SAMPLES = BANDS * ROWS
-#: Estimated similarity, so far below the wanted one, still leads to a full comparison: over five standard deviations.
-MARGIN = 0.22
+#: An odd sketch folds one MinHash value from each of 2 ** BIN_BITS parts of the hash space into so many bits.
+BIN_BITS, SKETCH_BITS = 10, 2048
+#: Standard deviations below the wanted similarity at which a sketch still leads to a full comparison.
+SIGMAS = 5
 #: Words whose hashes a worker remembers.
 CACHED_WORDS = 400_000
 #: Ids broadcast to pick documents; beyond, they meet in a shuffle.
@@ -27,7 +28,7 @@ BROADCAST_IDS = 4_000_000
 _random = np.random.default_rng(20240607)
 MULTIPLIERS = (_random.integers(0, 2**31, SAMPLES, dtype=np.uint32) * 2 + 1)[:, None]
 OFFSETS = _random.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, n_samples long, sketch array<long>"
 
 
 class WordHashes(dict):
@@ -65,11 +66,17 @@ def min_hashes(sets: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Each sample flips one bit, so equal samples cancel when two sketches are XORed."""
-    bit = mixed(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+def odd_sketch(sets: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of samples, and their parity bitmap.
+
+    The samples are the least hashes of equal parts of the hash space (one-permutation
+    MinHash); each flips one bit, so equal samples cancel when two sketches are XORed.
+    """
+    part = sets >> np.uint64(64 - BIN_BITS)
+    least = sets[np.r_[True, part[1:] != part[:-1]]] if len(sets) else sets
+    bit = mixed(least) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.int64)
+    return len(least), np.packbits(parity).view(np.int64)
 
 
 def band_hashes(samples: np.ndarray) -> np.ndarray:
@@ -84,16 +91,17 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, len(ids), 256):
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, n_samples, sketch = [], [], [], [], []
             for text in texts[at : at + 256]:
                 s = shingles(text.as_py(), words, hashes)
-                samples = min_hashes(s)
+                held, bits = odd_sketch(s)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(band_hashes(samples) if len(s) else [])
-                sketch.append(odd_sketch(samples))
+                bands.append(band_hashes(min_hashes(s)) if len(s) else [])
+                n_samples.append(held)
+                sketch.append(bits)
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, kind), pa.array(sketch, kind)], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, kind), pa.array(n_samples, pa.int64()), pa.array(sketch, kind)], ["doc_id", "n_shingles", "digest", "bands", "n_samples", "sketch"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -105,16 +113,31 @@ def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def close_sketches(a: str, b: str, least: float) -> Column:
-    """The XOR's population count c gives J = 1 + bits / (4 samples) * ln(1 - 2 c / bits)."""
-    most = SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * SAMPLES / SKETCH_BITS))
-    return differing(a, b) <= int(most)
-
-
 def differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def close(percent: int) -> Column:
+    """Whether sizes and sketches (n_a, k_a, s_a; n_b, k_b, s_b) allow a similarity of ``percent``/100.
+
+    The XOR's population count c tells how many samples differ, d = -bits / 2 * ln(1 - 2 c / bits), and so how
+    many agree, (k_a + k_b - d) / 2. A wanted pair's agreeing samples are drawn without replacement from
+    its union; from their mean go SIGMAS deviations of that draw and of the bitmap's collisions.
+    """
+    t, bits = percent / 100, float(SKETCH_BITS)
+    c = F.least(differing("s_a", "s_b") / bits, F.lit(0.499))
+    d = F.log(1 - 2 * c) * (-bits / 2)
+    most, n = F.greatest("k_a", "k_b"), F.greatest("n_a", "n_b")
+    spread = F.sqrt(1.3 * t * (1 - t) * most * (1 - most / n) + d * d / (2 * bits) * F.exp(4 * d / bits) + 1)
+    sizes = F.least("n_a", "n_b") * 100 >= n * percent
+    return sizes & ((F.col("k_a") + F.col("k_b") - d) / 2 >= t * most - SIGMAS * spread)
+
+
+def ends(reps: DataFrame, name: str, *more: str) -> DataFrame:
+    """Representatives as one end of a pair: name, n_name, k_name, s_name."""
+    return reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("n_samples").alias(f"k_{name}"), F.col("sketch").alias(f"s_{name}"), *[F.col(m).alias(f"{m}_{name}") for m in more])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a, b); a component is named by its smallest node.
 
@@ -125,21 +148,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     labels = None
     while True:
-        ends = edges.union(edges.select("b", "a"))
-        near = save(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "near")
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label")
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
         near2 = save(near.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
         if labels is None:
             labels = near2
         else:
             step = near2.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = save(labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            labels = labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         to_a = near2.select(F.col("node").alias("a"), F.col("label").alias("la"))
         to_b = near2.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         left = edges.join(to_a, "a").join(to_b, "b").filter("la != lb")
         edges = save(left.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+            return save(labels.select("node", F.col("label").alias("component")), "components")
 
 
 class Links:
@@ -153,11 +176,8 @@ class Links:
 
     def sift(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose set sizes and odd sketches allow a link, with the count of differing bits."""
-        a = self.reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-        b = self.reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-        both = pairs.join(a, "a").join(b, "b")
-        able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        return both.filter(able & close_sketches("s_a", "s_b", self.percent / 100 - MARGIN)).select("a", "b", differing("s_a", "s_b").alias("differ"))
+        both = pairs.join(ends(self.reps, "a"), "a").join(ends(self.reps, "b"), "b")
+        return both.filter(close(self.percent)).select("a", "b", differing("s_a", "s_b").alias("differ"))
 
     def need_sets(self, pairs: DataFrame) -> None:
         """Full sets of the documents of ``pairs`` that have none yet."""
@@ -178,6 +198,8 @@ class Links:
         common = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - common
         new = save(pairs.select("a", "b").join(b, "b").join(a, "a").filter(common * 100 >= union * self.percent).select("a", "b"), "links")
+        if self.links is not None and new.isEmpty():
+            return
         self.links = new if self.links is None else self.links.union(new)
         self.parts = components(self.links)
 
@@ -214,9 +236,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(signatures, words=words), SIGNATURE), "near-rows")
     filled = rows.filter("n_shingles > 0")
     classes = save(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
-    reps = save(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sketch"), "near-reps")
+    reps = save(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "n_samples", "sketch"), "near-reps")
 
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("b"))
+    members = reps.select(F.col("doc_id").alias("b"), F.posexplode("bands").alias("band", "bucket"))
     drawn = F.min(F.struct(F.xxhash64("bucket", "b"), F.col("b").alias("a")))
     centres = members.groupBy("bucket").agg(F.count("*").alias("n"), drawn.alias("least")).filter("n > 1").select("bucket", F.col("least.a").alias("a"))
     buckets = save(members.join(centres, "bucket"), "near-buckets")
@@ -226,7 +248,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     closest = stars.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("least")).select(F.col("least.a").alias("a"), "b")
     links.confirm(save(closest, "near-pairs"))
     links.confirm(save(links.apart(stars.join(closest, ["a", "b"], "left_anti").select("a", "b")), "near-pairs"))
-    links.confirm(save(links.sift(left_over(buckets, links)).select("a", "b"), "near-pairs"))
+    links.confirm(save(left_over(buckets, links), "near-pairs"))
 
     named = classes.join(links.parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     grouped = join_groups(filled.select("doc_id", "n_shingles", "digest"), save(named, "near-named"), "digest", "n")
@@ -238,14 +260,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 def left_over(buckets: DataFrame, links: Links) -> DataFrame:
     """Pairs of a bucket in different components, one end outside the bucket's main component, not compared yet."""
-    named = buckets.join(links.parts.select(F.col("node").alias("b"), "component"), "b", "left").select("bucket", "b", F.col("a").alias("centre"), F.coalesce("component", "b").alias("c"))
+    named = buckets.join(links.parts.select(F.col("node").alias("b"), "component"), "b", "left").select("bucket", "band", "b", F.col("a").alias("centre"), F.coalesce("component", "b").alias("c"))
     named = save(named, "near-named-buckets")
     sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("most")).filter("parts > 1").select("bucket", F.col("most.c").alias("main"))
-    mixed_buckets = save(named.join(main, "bucket"), "near-mixed")
-    sketch = links.reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
-    x = mixed_buckets.filter("c != main and b != centre").select("bucket", F.col("b").alias("a"), F.col("c").alias("c_a"), F.col("main").alias("m")).join(sketch.toDF("a", "n_a", "s_a"), "a")
-    y = mixed_buckets.filter("b != centre").select("bucket", "b", "c").join(sketch.toDF("b", "n_b", "s_b"), "b")
-    once = (F.col("c") == F.col("m")) | (F.col("a") < F.col("b"))
-    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * links.percent
-    return x.join(y, "bucket").filter((F.col("c_a") != F.col("c")) & once & able & close_sketches("s_a", "s_b", links.percent / 100 - MARGIN)).select("a", "b").distinct()
+    mixed_buckets = save(named.join(main, "bucket").filter("b != centre"), "near-mixed")
+    x = mixed_buckets.filter("c != main").select("bucket", "band", F.col("b").alias("a"), F.col("c").alias("c_a"), "main").join(ends(links.reps, "a", "bands"), "a")
+    y = mixed_buckets.select("bucket", "b", "c").join(ends(links.reps, "b", "bands"), "b")
+    once = (F.col("c") == F.col("main")) | (F.col("a") < F.col("b"))
+    # a pair that shares several buckets is told in the first of them
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda i, j: i == j), True) == F.col("band") + 1
+    return x.join(y, "bucket").filter((F.col("c_a") != F.col("c")) & once & close(links.percent) & first).select("a", "b").distinct()
