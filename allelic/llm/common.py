@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,3 +98,11 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``dropped`` (a saved table); texts stay in place if the ids are few."""
     ids = dropped.select("doc_id")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time in this process; kept by name in a module of its own, as functions sent by value have new globals in each task."""
+    kept = sys.modules.setdefault("_allelic_worker", types.ModuleType("_allelic_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, join_groups, save
+from .common import drop, join_groups, once, save
 
 BANDS, ROWS = 32, 4
 #: MinHash values of a document for its bands.
@@ -87,7 +87,7 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = once(("word hashes",), WordHashes)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, len(ids), 256):
@@ -105,7 +105,7 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = once(("word hashes",), WordHashes)
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)

@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, with_rank
-from .tokens import Encoder
+from .tokens import encoder
 
 LENGTH = 2048
 
 
 def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(tokenizer)
+    ids_of = encoder(tokenizer).encode
+    kind = encoder(tokenizer).dtype
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
             rows = []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), encoder.dtype.type(end_id)).astype("<u4")
+                ids = np.append(ids_of(text.as_py()), kind.type(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), length)):
                     own = ids[start : start + length].tobytes()
                     rows.append((doc, piece, start, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))

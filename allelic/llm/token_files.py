@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, partitions, save
-from .tokens import Encoder
+from .tokens import Encoder, encoder
 
 #: Longest code, in bits; tables of 2 ** LIMIT entries decode it.
 LIMIT = 20
@@ -114,7 +114,7 @@ def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
     """Blocks of whole documents, in the order of the partition."""
     from pyspark import TaskContext
 
-    encoder, part, block, kind = Encoder(tokenizer), TaskContext.get().partitionId(), 0, pa.list_(pa.int64())
+    own, part, block, kind = encoder(tokenizer), TaskContext.get().partitionId(), 0, pa.list_(pa.int64())
     docs, sizes, data, held = [], [], [], 0
 
     def close() -> pa.RecordBatch:
@@ -122,7 +122,7 @@ def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(encoder.encode(text.as_py()), encoder.dtype.type(end_id)).astype(encoder.dtype)
+            ids = np.append(own.encode(text.as_py()), own.dtype.type(end_id))
             docs.append(doc)
             sizes.append(len(ids))
             data.append(ids.tobytes())
@@ -178,9 +178,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     Null text counts as empty; equal doc_ids are separate documents; null doc_ids come first. An empty table gives an empty file. Other columns are ignored.
     """
     spark = docs.sparkSession
-    encoder = Encoder(tokenizer)
-    dtype, vocabulary = encoder.dtype, max(encoder.tokenizer.get_vocab_size(), end_id + 1)
-    del encoder
+    own = Encoder(tokenizer)
+    dtype, vocabulary = own.dtype, max(own.tokenizer.get_vocab_size(), end_id + 1)
+    del own
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = text.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     raw = save(ranged.mapInArrow(partial(tokenize, tokenizer=tokenizer, end_id=end_id), f"{BLOCK}, ids binary"), "token-blocks")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
+from .common import once
+
 #: Pieces that a worker remembers in each of two generations.
 CACHED_PIECES = 300_000
 #: Pre-tokenizers of the two public files, which split as PIECES does within plain text.
@@ -17,7 +20,7 @@ WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 UNUSUAL = re.compile(f"[^\\n -~{LETTERS}]")
 #: White space that isn't one single character between two words.
-GAPS = re.compile(r"[ \n]{2}|\A[ \n]|[ \n]\Z")
+GAPS = ("  ", " \n", "\n ", "\n\n")
 BYTE_PIECES = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\n")
 WORD_PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
 
@@ -55,15 +58,20 @@ class Encoder(dict):
         self.fast = bool(self.space) or WORD_LEVEL in split
         self.pieces = BYTE_PIECES if self.space else WORD_PIECES
         self.letters = byte_letters()
+        self.mapped_space = chr(self.letters[32])
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            if "'" in chunk:
+            core = chunk if self.space else chunk.lower()
+            if core.removeprefix(" ").isalpha():
+                found = self.piece(core)
+            elif "'" in chunk:
                 found = self.whole(chunk)
             else:
-                parts = self.pieces.findall(chunk if self.space else chunk.lower())
+                parts = self.pieces.findall(core)
                 found = self.piece(parts[0]) if len(parts) == 1 else b"".join([self[p] if p != chunk else self.piece(p) for p in parts])
         if len(self) >= CACHED_PIECES:
             self.older = dict(self)
@@ -72,18 +80,29 @@ class Encoder(dict):
         return found
 
     def piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        mapped = piece.replace(" ", self.mapped_space) if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        if text[0] in " \n" or text[-1] in " \n" or any(g in text for g in GAPS):
+            return False
+        return text.replace("\n", "").isprintable() if text.isascii() else not UNUSUAL.search(text)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        if not self.fast or UNUSUAL.search(text) or GAPS.search(text):
+        if not self.fast or not self.plain(text):
             return np.frombuffer(self.whole(text), self.dtype)
         chunks = text.split(" ")
         if self.space:
             chunks[1:] = [" " + c for c in chunks[1:]]
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), self.dtype)
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a file: a worker that is used again keeps what it has learned."""
+    return once(("encoder", path), lambda: Encoder(path))
