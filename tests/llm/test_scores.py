@@ -192,8 +192,7 @@ def test_mix_of_targets_out_of_reach_is_least_squares(spark):
     docs, labelled, _ = languages(spark)
     rows = mixing.mix(docs, labelled, {"de": 0.001, "en": 0.001, "fr": 0.998}, tokens=50_000).collect()
     n, p, rate = np.array([r["n_tokens"] for r in rows], float), np.array([r["p"] for r in rows]), np.array([r["rate"] for r in rows])
-    weight = 1 / (n @ p)
-    gradient = p @ (weight * ((rate * n) @ p - 50_000 * np.array([0.001, 0.001, 0.998])))
+    gradient = p @ np.linalg.solve((p * n[:, None]).T @ p, (rate * n) @ p - 50_000 * np.array([0.001, 0.001, 0.998]))
     assert (np.abs(gradient[(rate > 1e-6) & (n > 0)]) < 0.01).all() and (gradient[(rate <= 1e-6) & (n > 0)] > -0.01).all()
 
 
