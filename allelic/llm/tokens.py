@@ -12,7 +12,7 @@ import numpy as np
 from .common import once
 
 #: Pieces that a worker remembers in each of two generations.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 #: Pre-tokenizers of the two public files, which split as PIECES does within plain text.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -72,7 +72,13 @@ class Encoder(dict):
                 found = self.whole(chunk)
             else:
                 parts = self.pieces.findall(core)
-                found = self.piece(parts[0]) if len(parts) == 1 else b"".join([self[p] if p != chunk else self.piece(p) for p in parts])
+                if len(parts) == 1:
+                    found = self.piece(parts[0])
+                else:
+                    known = parts[0] in self
+                    found = b"".join([self[p] if p != chunk else self.piece(p) for p in parts])
+                    if not known:  # a new word: its pieces are kept, this combination not yet
+                        return found
         if len(self) >= CACHED_PIECES:
             self.older = dict(self)
             self.clear()
@@ -97,9 +103,7 @@ class Encoder(dict):
             return np.empty(0, self.dtype)
         if not self.fast or not self.plain(text):
             return np.frombuffer(self.whole(text), self.dtype)
-        chunks = text.split(" ")
-        if self.space:
-            chunks[1:] = [" " + c for c in chunks[1:]]
+        chunks = text.replace(" ", "\x00 ").split("\x00") if self.space else text.split(" ")
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), self.dtype)
 
 
