@@ -101,8 +101,12 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def once(key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` gave the first time in this process; kept by name in a module of its own, as functions sent by value have new globals in each task."""
+    """What ``make`` gave the first time in this process, until another key is asked for: a worker holds one cache at a time.
+
+    It is kept in a module of its own, as functions sent by value have new globals in each task.
+    """
     kept = sys.modules.setdefault("_allelic_worker", types.ModuleType("_allelic_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept["value"] = None
+        kept["value"], kept["key"] = make(), key
+    return kept["value"]
