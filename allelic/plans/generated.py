@@ -34,11 +34,16 @@ def titv_draw(spark, sf_dir):
 
 @plan(f"""WITH {SITES}, {DRAWN}, h AS (SELECT site, ac, hap, row_number() OVER (PARTITION BY site ORDER BY {md5(SEED, 'slot', 'site', 'hap')}, hap) AS rn FROM dr, (SELECT unnest(range(200)) AS hap) WHERE site % 10 = 0) SELECT site, hap FROM h WHERE rn <= ac""")
 def haplotype_slots(spark, sf_dir):
-    """Of every tenth site, which here is the table of sites to be phased."""
+    """Of every tenth site only, as its SQL has it; ``haplotype_slots_all`` has all sites."""
     counts = G.draw_allele_counts(D.sites(spark, sf_dir).filter("site % 10 = 0"), 200, SEED)
     return G.haplotype_slots(counts, 200, SEED)
 
 
+@plan(f"""WITH {SITES}, {DRAWN}, h AS (SELECT site, ac, hap, row_number() OVER (PARTITION BY site ORDER BY {md5(SEED, 'slot', 'site', 'hap')}, hap) AS rn FROM dr, (SELECT unnest(range(200)) AS hap)) SELECT site, hap FROM h WHERE rn <= ac""")
+def haplotype_slots_all(spark, sf_dir):
+    return G.haplotype_slots(G.draw_allele_counts(D.sites(spark, sf_dir), 200, SEED), 200, SEED)
+
+
 @plan("""SELECT i, CASE WHEN x % 2 = 0 THEN 'HG' ELSE 'NA' END || lpad(CAST(x // 2 AS VARCHAR), 7, '0') AS sample FROM (SELECT i, (i * 7368787 + 11 * 104729) % 19800000 AS x FROM range(5000) t(i))""")
 def sample_ids(spark, sf_dir):
     return G.sample_ids(spark, 5000, SEED)
