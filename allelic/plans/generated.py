@@ -57,11 +57,20 @@ def sex_lineage_draw(spark, sf_dir):
 @plan(f"""WITH {PEOPLE}, {SITES} SELECT sample, site, CASE WHEN {uniform(SEED, 'h1', 'sample', 'site')} < (site % 100) / 100.0::DOUBLE THEN '1' ELSE '0' END || '|' || CASE WHEN {uniform(SEED, 'h2', 'sample', 'site')} < (site % 100) / 100.0::DOUBLE THEN '1' ELSE '0' END AS gt
     FROM people, sites WHERE chrom = '1'""")
 def hwe_gt_draw(spark, sf_dir):
+    """At sites of chromosome 1 only, as its SQL has it; ``hwe_gt_draw_all`` has all sites."""
     s = D.sites(spark, sf_dir).filter("chrom = '1'").withColumn("af", F.col("site") % 100 / 100.0)
     cells = D.people(spark, sf_dir).select("sample").crossJoin(F.broadcast(s.select("site", "af")))
     return G.hwe_genotypes(cells, "af", SEED).select("sample", "site", "gt")
 
 
+@plan(f"""WITH {PEOPLE}, {SITES} SELECT sample, site, CASE WHEN {uniform(SEED, 'h1', 'sample', 'site')} < (site % 100) / 100.0::DOUBLE THEN '1' ELSE '0' END || '|' || CASE WHEN {uniform(SEED, 'h2', 'sample', 'site')} < (site % 100) / 100.0::DOUBLE THEN '1' ELSE '0' END AS gt
+    FROM people, sites""")
+def hwe_gt_draw_all(spark, sf_dir):
+    s = D.sites(spark, sf_dir).select("site", (F.col("site") % 100 / 100.0).alias("af"))
+    cells = s.crossJoin(F.broadcast(D.people(spark, sf_dir).select("sample")))  # a hundred people at most
+    return G.hwe_genotypes(cells, "af", SEED).select("sample", "site", "gt")
+
+
 @plan()
 def dp_ad_draw(spark, sf_dir):
     out = G.read_depths(D.calls(spark, sf_dir), SEED)
