@@ -75,7 +75,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=0, length=2048, with_ids=False)
+    """The digest is taken of the packed ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=0, length=2048)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_shard_documents, op2_exact_dedup, op3_nearest_vectors, op4_toxicity, op5_near_dedup, op6_preference_pairs, op7_mix_domains, op8_quality, op9_token_files, op10_best_fit_packing)}
