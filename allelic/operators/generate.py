@@ -72,6 +72,54 @@ def hwe_genotypes(cells: DataFrame, af: str, seed: int) -> DataFrame:
     return cells.withColumn("gt", F.concat(one("h1"), F.lit("|"), one("h2")))
 
 
+def draw_multi_allele_counts(sites: DataFrame, haplotypes: int, seed: int, alpha: float = 2.0, attempts: int = 50) -> DataFrame:
+    """Counts of several ALT alleles, (site, n_alts) to (site, acs); at least one haplotype stays REF.
+
+    Each count is drawn for itself. A draw that adds up to too many is repeated, ``attempts`` times in all; then
+    the largest counts, the first of equals, shrink one by one until they fit, none below 1.
+    """
+    if haplotypes < 2:
+        raise ValueError("fewer than 2 haplotypes")
+    weights = [k**-alpha for k in range(1, haplotypes)]
+    highs = F.array(*[F.lit(sum(weights[:k]) / sum(weights)) for k in range(1, haplotypes - 1)], F.lit(1.0))
+    most, total = haplotypes - 1, lambda acs: F.aggregate(acs, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    alts = F.when(F.col("n_alts") < 1, F.raise_error(F.lit("a site without ALT"))).otherwise(F.col("n_alts")).cast("int")
+
+    def draw(i):
+        us = F.transform(F.sequence(F.lit(1), alts), lambda alt: draws.uniform(seed, "sfs", F.col("site"), i, alt))
+        return F.transform(us, lambda u: (F.size(F.filter(highs, lambda h: h <= u)) + 1).cast("long"))
+
+    # CASE is lazy: nothing is drawn any more once a draw fits
+    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(attempts - 1)), draw(F.lit(0)), lambda acs, i: F.when(total(acs) <= most, acs).otherwise(draw(i))) if attempts > 1 else draw(F.lit(0))
+    out = sites.withColumn("acs", drawn)
+    # where shrinking ends: all counts capped at a level, the first of those at the level one lower
+    levels = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long")), lambda x: total(F.transform("acs", lambda c: F.least(c, x))) >= most)
+    out = out.withColumn("_level", F.when(total(F.col("acs")) > most, levels[0]))
+    out = out.withColumn("_over", total(F.transform("acs", lambda c: F.least(c, F.col("_level")))) - most)
+    at = F.transform("acs", lambda c, i: F.size(F.filter(F.slice("acs", 1, i + 1), lambda x: x >= F.col("_level"))))  # how many have been at the level
+    shrunk = F.transform(F.arrays_zip(F.col("acs").alias("c"), at.alias("n")), lambda x: F.greatest(F.lit(1).cast("long"), F.least(x["c"], F.col("_level")) - F.when((x["c"] >= F.col("_level")) & (x["n"] <= F.col("_over")), 1).otherwise(0)))
+    return out.select("site", F.when(F.col("_level").isNull(), F.col("acs")).otherwise(shrunk).alias("acs"))
+
+
+def multi_haplotype_slots(counts: DataFrame, haplotypes: int, seed: int) -> DataFrame:
+    """Exactly ``acs[k - 1]`` distinct haplotypes for each ALT allele k of a site, in hash order. (site, acs) to (site, hap, allele)."""
+    ends = F.transform("acs", lambda c, i: F.aggregate(F.slice("acs", 1, i + 1), F.lit(0).cast("long"), lambda x, y: x + y))
+    told = counts.select("site", ends.alias("ends"))
+    last = F.when(F.element_at("ends", -1) > haplotypes, F.raise_error(F.lit("more ALT alleles than haplotypes"))).otherwise(F.element_at("ends", -1))
+    wide = told.withColumn("last", last).withColumn("hap", F.explode(F.sequence(F.lit(0), F.lit(haplotypes - 1)))).withColumn("hap", F.col("hap").cast("long"))
+    order = Window.partitionBy("site").orderBy(draws.order_key(seed, "slot", F.col("site"), F.col("hap")), "hap")
+    taken = wide.withColumn("rn", F.row_number().over(order)).filter("rn <= last")
+    return taken.select("site", "hap", (F.size(F.filter("ends", lambda e: e < F.col("rn"))) + 1).cast("long").alias("allele"))
+
+
+def multi_hwe_genotypes(cells: DataFrame, afs: str, seed: int) -> DataFrame:
+    """Two independent draws among REF and the ALT alleles of the array ``afs``; REF has what they leave."""
+    highs = F.transform(afs, lambda f, i: F.aggregate(F.slice(afs, 1, i + 1), F.lit(0.0), lambda x, y: x + y))
+    one = lambda h: F.array_position(F.transform(highs, lambda high: draws.uniform(seed, h, F.col("sample"), F.col("site")) < high), F.lit(True)).cast("string")
+    return cells.withColumn("gt", F.concat(one("h1"), F.lit("|"), one("h2")))
+
+
 def sample_ids(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """Distinct ids: HG or NA and seven digits, by a bijection of the row number."""
     i = (F.col("id") * 7_368_787 + seed * 104_729) % 19_800_000

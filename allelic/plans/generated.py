@@ -71,6 +71,25 @@ def hwe_gt_draw_all(spark, sf_dir):
     return G.hwe_genotypes(cells, "af", SEED).select("sample", "site", "gt")
 
 
+def multi_alt_counts(spark, sf_dir):
+    """Counts of the catalogue's entries, which list one ALT or several; a ``.`` is none."""
+    alts = F.size(F.filter(F.split("alt", ","), lambda a: a != "."))
+    entries = D.catalogue(spark, sf_dir).select(F.col("ord").alias("site"), alts.alias("n_alts")).filter("n_alts > 0")
+    return G.draw_multi_allele_counts(entries, 200, SEED)
+
+
+@plan()
+def multi_alt_slots(spark, sf_dir):
+    return G.multi_haplotype_slots(multi_alt_counts(spark, sf_dir), 200, SEED)
+
+
+@plan()
+def multi_alt_genotypes(spark, sf_dir):
+    s = multi_alt_counts(spark, sf_dir).select("site", F.transform("acs", lambda c: c / 200.0).alias("afs"))
+    cells = s.crossJoin(F.broadcast(D.people(spark, sf_dir).select("sample")))  # a hundred people at most
+    return G.multi_hwe_genotypes(cells, "afs", SEED).select("sample", "site", "gt")
+
+
 @plan()
 def dp_ad_draw(spark, sf_dir):
     out = G.read_depths(D.calls(spark, sf_dir), SEED)
