@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, save
+from .common import drop, partitions, save, small_batches
 from .tokens import Encoder, encoder
 
 #: Longest code, in bits; tables of 2 ** LIMIT entries decode it.
@@ -110,37 +110,35 @@ class Decoder:
         return out.T.reshape(-1)[:n]
 
 
-def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole documents, in the order of the partition."""
+def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, vocabulary: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole documents, in the order of the partition; then a row, block -1, that holds how often each id occurs in it."""
     from pyspark import TaskContext
 
     own, part, block, kind = encoder(tokenizer), TaskContext.get().partitionId(), 0, pa.list_(pa.int64())
-    docs, sizes, data, held = [], [], [], 0
+    counts, end = np.zeros(vocabulary, np.int64), np.array([end_id], own.dtype)
+    docs, data, held = [], [], 0
+
+    def row(block: int, docs: list, sizes: list[int], n: int, ids: bytes) -> pa.RecordBatch:
+        columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], kind), pa.array([sizes], kind), pa.array([n], pa.int64()), pa.array([ids], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "doc_ids", "lengths", "n", "ids"])
 
     def close() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], kind), pa.array([sizes], kind), pa.array([held], pa.int64()), pa.array([b"".join(data)], pa.binary())], ["part", "block", "doc_ids", "lengths", "n", "ids"])
+        ids = np.concatenate([x for own_ids in data for x in (own_ids, end)])
+        np.add(counts, np.bincount(ids, minlength=vocabulary), out=counts)
+        return row(block, docs, [len(x) + 1 for x in data], held, ids.tobytes())
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(own.encode(text.as_py()), own.dtype.type(end_id))
+        for doc, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1)), strict=True):
             docs.append(doc)
-            sizes.append(len(ids))
-            data.append(ids.tobytes())
-            held += len(ids)
+            data.append(ids)
+            held += len(ids) + 1
             if held >= BLOCK_IDS:
                 yield close()
-                docs, sizes, data, held, block = [], [], [], 0, block + 1
+                docs, data, held, block = [], [], 0, block + 1
     if docs:
         yield close()
-
-
-def count_ids(batches: Iterator[pa.RecordBatch], dtype: np.dtype, vocabulary: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(vocabulary, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            counts += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocabulary)
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
+    yield row(-1, used.tolist(), counts[used].tolist(), 0, b"")
 
 
 def compress(batches: Iterator[pa.RecordBatch], dtype: np.dtype, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -157,7 +155,8 @@ def compress(batches: Iterator[pa.RecordBatch], dtype: np.dtype, lengths: np.nda
 def decompress(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, with_ids: bool) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(lengths)
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             ids = decoder.decode(row["bits"], row["checkpoints"], row["n"]).astype("<u4")
             sizes = np.array(row["lengths"], np.int64)
             before = np.cumsum(sizes) - sizes
@@ -178,14 +177,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     Null text counts as empty; equal doc_ids are separate documents; null doc_ids come first. An empty table gives an empty file. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = Encoder(tokenizer)
     dtype, vocabulary = own.dtype, max(own.tokenizer.get_vocab_size(), end_id + 1)
     del own
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = text.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    raw = save(ranged.mapInArrow(partial(tokenize, tokenizer=tokenizer, end_id=end_id), f"{BLOCK}, ids binary"), "token-blocks")
-    counts = np.zeros(vocabulary, np.int64)
-    for r in raw.select("ids").mapInArrow(partial(count_ids, dtype=dtype, vocabulary=vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    cut = partial(tokenize, tokenizer=tokenizer, end_id=end_id, vocabulary=vocabulary)
+    both = save(ranged.mapInArrow(cut, f"{BLOCK}, ids binary"), "token-blocks")
+    raw, counts = both.filter("block >= 0"), np.zeros(vocabulary, np.int64)
+    counted = both.filter("block < 0").select(F.explode(F.arrays_zip("doc_ids", "lengths")).alias("c"))
+    for r in counted.groupBy(F.col("c.doc_ids").alias("id")).agg(F.sum("c.lengths").alias("n")).toLocalIterator():
         counts[r["id"]] = r["n"]  # one row for each id of the vocabulary at most
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
@@ -199,7 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     # one row for each block of 2 ** 18 ids: broadcast by Spark's own size check, else shuffled
     blocks = raw.join(starts, ["part", "block"]).mapInArrow(partial(compress, dtype=dtype, lengths=lengths), f"{BLOCK}, start long, bits binary, checkpoints binary")
     blocks.write.parquet(f"{path}/blocks")
-    drop(raw, starts)
+    drop(both, starts)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

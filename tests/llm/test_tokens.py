@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from allelic.llm import packing, token_files
@@ -20,7 +21,6 @@ def plain(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,17 +29,38 @@ def test_encoder_equals_the_library(name):
     encoder, want = Encoder(tokenizer(name)), plain(name)
     rng = random.Random(3)
     signs = ["a", "B", "é", "Ö", "ß", "œ", "ı", " ", " ", "\n", "'s", "'", "12", "3", ".", ",", "!!", "_", "&%", "|", "\t", "²", "日", "é", "µ", " "]
+    signs += ["<|", "<|endoftext|>", "\n\n", "  ", "'ll", "'S", "ž"]
     texts = TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    for text in texts * 2:
+    for text in texts:
         assert encoder.encode(text).tolist() == want(text), text
+    together = encoder.encode_all(pa.array(texts * 2, pa.string()))
+    assert [x.tolist() for x in together] == [want(x) for x in texts * 2]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_common_texts_need_no_whole_path(name, monkeypatch):
+    """Texts are cut together with their neighbours, so what ends one must not reach into the next."""
+    encoder, want = Encoder(tokenizer(name)), plain(name)
+    monkeypatch.setattr(encoder, "whole", None)
+    rng = random.Random(5)
+    signs = ["a", "Bc", "é", " ", " ", "\n", "'s", "'", "'re", "'t", "12", "3", ".", ",", "!!", "\n\n", "  "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    assert [x.tolist() for x in encoder.encode_all(pa.array(texts))] == [want(x) for x in texts]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_special_tokens_are_these_tokens(name):
+    encoder, want = Encoder(tokenizer(name)), plain(name)
+    for text in ("it's <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|startoftext|>", "a <| b"):
+        assert encoder.encode(text).tolist() == want(text)
 
 
 def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr("allelic.llm.tokens.CACHED_PIECES", 3)
+    monkeypatch.setattr("allelic.llm.tokens.CACHED_PIECES", 30)
     encoder, want = Encoder(tokenizer(FILES[0])), plain(FILES[0])
     for text in TEXTS:
         assert encoder.encode(text).tolist() == want(text)
-    assert len(encoder) <= 3 and len(encoder.older) <= 3
+    assert len(encoder.recent) <= 30 and len(encoder.older) <= 30
 
 
 @pytest.mark.parametrize("counts", [[0, 5, 0], [1, 1], [2**i for i in range(40)], list(range(1, 3000)), [1] * 5000])
