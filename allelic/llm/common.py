@@ -6,8 +6,11 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,6 +114,24 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
+def as_bytes(column: pa.BinaryArray) -> list[bytes]:
+    """The values of a column without nulls."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = bytes(data)
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def slices(texts: pa.StringArray, size: int) -> Iterator[pa.StringArray]:
+    """``texts`` (no nulls) in stretches of at most ``size`` bytes, or of one text."""
+    before = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)]
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(before, before[at] + size, "right")) - 1 - at)
+        yield texts.slice(at, n)
+        at += n
+
+
 def once(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gave the first time in this process, until another key is asked for: a worker holds one cache at a time.
 

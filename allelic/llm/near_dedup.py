@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, join_groups, once, save
+from .common import as_bytes, drop, join_groups, save, slices, small_batches
 
 BANDS, ROWS = 32, 4
 #: MinHash values of a document for its bands.
@@ -20,42 +22,58 @@ SAMPLES = BANDS * ROWS
 BIN_BITS, SKETCH_BITS = 10, 2048
 #: Standard deviations below the wanted similarity at which a sketch still leads to a full comparison.
 SIGMAS = 5
-#: Words whose hashes a worker remembers.
-CACHED_WORDS = 400_000
+#: Bytes of text that are cut into words at once.
+SLICE_BYTES = 1 << 22
+#: Members of a group from which its core is made, about; the result doesn't depend on it.
+CORE_MEMBERS = 32
+#: ASCII white space between words.
+BLANKS = [32, 9, 10, 11, 12, 13]
 #: Ids broadcast to pick documents; beyond, they meet in a shuffle.
 BROADCAST_IDS = 4_000_000
 
 _random = np.random.default_rng(20240607)
 MULTIPLIERS = (_random.integers(0, 2**31, SAMPLES, dtype=np.uint32) * 2 + 1)[:, None]
 OFFSETS = _random.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
+LOWER = np.r_[0:65, 97:123, 91:256].astype(np.uint8)
+IS_BLANK = np.isin(np.arange(256), BLANKS)
 SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, n_samples long, sketch array<long>"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z is lower-cased, ASCII white space splits."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = min(words, len(h))
-    out = h[: len(h) - n + 1].copy()
-    for i in range(1, n):
-        out = mixed(out) + h[i : len(h) - n + 1 + i]
-    return np.unique(mixed(out + np.uint64(n)))
+def word_hashes(texts: pa.StringArray) -> list[np.ndarray]:
+    """Hashes of the words of each of some texts without nulls; A-Z is lower-cased, ASCII white space splits."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return [np.empty(0, np.uint64)] * len(texts)
+    raw, ends = LOWER[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]], ends - ends[0]
+    blank = IS_BLANK[raw]
+    begin = np.r_[True, blank[1:] != blank[:-1]]
+    begin[ends[:-1][np.diff(ends) > 0]] = True
+    cut = np.flatnonzero(begin).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.r_[cut, np.int32(len(raw))].astype(np.int32)), pa.py_buffer(raw)])
+    word = ~blank[cut]
+    coded = runs.filter(pa.array(word)).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, as_bytes(coded.dictionary)), np.uint64, len(coded.dictionary))
+    hashes = known[coded.indices.to_numpy(zero_copy_only=False)]
+    at = np.searchsorted(cut[word], ends)
+    return [hashes[i:j] for i, j in zip(at, at[1:])]
+
+
+def all_shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text in turn; a null has none."""
+    for part in slices(texts.cast(pa.string()).fill_null(""), SLICE_BYTES):
+        for h in word_hashes(part):
+            n = min(words, len(h))
+            out = h[: len(h) - n + 1].copy()
+            for i in range(1, n):
+                out = mixed(out) + h[i : len(h) - n + 1 + i]
+            yield np.unique(mixed(out + np.uint64(n))) if n else h
 
 
 def min_hashes(sets: np.ndarray) -> np.ndarray:
@@ -87,30 +105,30 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    hashes = once(("word hashes",), WordHashes)
+    kind, names = pa.list_(pa.int64()), ["doc_id", "n_shingles", "digest", "bands", "n_samples", "sketch"]
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, len(ids), 256):
+        sets = all_shingles(batch.column(1), words)
+        for at in range(0, len(batch), 256):
+            ids = batch.column(0).slice(at, 256)
             n, digest, bands, n_samples, sketch = [], [], [], [], []
-            for text in texts[at : at + 256]:
-                s = shingles(text.as_py(), words, hashes)
+            for s in islice(sets, len(ids)):
                 held, bits = odd_sketch(s)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(band_hashes(min_hashes(s)) if len(s) else [])
                 n_samples.append(held)
                 sketch.append(bits)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids[at : at + 256], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, kind), pa.array(n_samples, pa.int64()), pa.array(sketch, kind)], ["doc_id", "n_shingles", "digest", "bands", "n_samples", "sketch"])
+            columns = [ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, kind), pa.array(n_samples, pa.int64()), pa.array(sketch, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    hashes = once(("word hashes",), WordHashes)
     for batch in batches:
+        sets = all_shingles(batch.column(1), words)
         for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            sets = [shingles(x.as_py(), words, hashes).view(np.int64) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            ids = batch.column(0).slice(at, 64)
+            found = [s.view(np.int64) for s in islice(sets, len(ids))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
 def differing(a: str, b: str) -> Column:
@@ -179,9 +197,8 @@ class Links:
         both = pairs.join(ends(self.reps, "a"), "a").join(ends(self.reps, "b"), "b")
         return both.filter(close(self.percent)).select("a", "b", differing("s_a", "s_b").alias("differ"))
 
-    def need_sets(self, pairs: DataFrame) -> None:
-        """Full sets of the documents of ``pairs`` that have none yet."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def need_sets(self, ids: DataFrame) -> None:
+        """Full sets of the documents ``ids`` (doc_id, each once) that have none yet."""
         if self.sets is not None:
             ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
         ids = save(ids, "set-ids")
@@ -192,7 +209,7 @@ class Links:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Keep the pairs that link by their full sets; name the components anew."""
-        self.need_sets(pairs)
+        self.need_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         a = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
         b = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
         common = F.size(F.array_intersect("s_a", "s_b"))
@@ -223,16 +240,17 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     that share a MinHash band (32 bands of 4 rows: a pair at 0.8 shares none with
     probability 5e-8) meet in a bucket. A bucket isn't expanded into pairs: each
     member is compared with one centre, drawn by hash for each bucket, first the
-    centre of the closest odd sketch, then the others; only members that still are
-    outside the main component of their bucket are compared with the rest of it.
-    So a large group of copies costs a few comparisons for each member, and every pair of a bucket
-    is either compared or already in one component.
+    centre of the closest odd sketch, then the others; buckets that then hold
+    several components go through ``left_over``, which finds every link between them
+    without forming the pairs of a bucket. So a large group of copies costs a few comparisons for each
+    member, and no pair of a bucket that links is left in two components.
 
     Null and empty texts have an empty set and link with nothing, not even each
     other; fewer words than ``words`` make one shingle of the whole sequence. doc_id should be unique: rows
     that share one are taken for the same text where sets are compared. An empty table gives an
     empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(signatures, words=words), SIGNATURE), "near-rows")
     filled = rows.filter("n_shingles > 0")
     classes = save(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
@@ -259,15 +277,67 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def left_over(buckets: DataFrame, links: Links) -> DataFrame:
-    """Pairs of a bucket in different components, one end outside the bucket's main component, not compared yet."""
-    named = buckets.join(links.parts.select(F.col("node").alias("b"), "component"), "b", "left").select("bucket", "band", "b", F.col("a").alias("centre"), F.coalesce("component", "b").alias("c"))
+    """Pairs (a, b) to confirm, so that every link inside a bucket is between documents of one component.
+
+    Buckets whose members are in different components still, taken together where they
+    share members, are groups, cut once more into ranges of set sizes that overlap. In a group, sets x
+    become their differences d(x) from one core set, the shingles most members hold. A similarity of
+    at least t means |d(x) ^ d(y)| = |x ^ y| <= (|x| + |y|) (1 - t) / (1 + t), or, with the weight
+    w(x) = |d(x)| (1 + t) - |x| (1 - t), 2 (1 + t) |d(x) & d(y)| >= w(x) + w(y). So
+    two documents link without a comparison if their weights add up to no more than 0, and
+    then both link with the document z of least weight: one pair each. Any other
+    link shares so many differences that the rarest of either, as many as ``prefix`` tells,
+    have one in common: an exact inverted index on few and rare elements. Groups of any shape and size lose no
+    link; a core that fits badly costs more comparisons and nothing else.
+    """
+    p = links.percent
+    named = buckets.join(links.parts.select(F.col("node").alias("b"), "component"), "b", "left").select("bucket", "b", F.col("a").alias("centre"), F.coalesce("component", "b").alias("c"))
     named = save(named, "near-named-buckets")
-    sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("most")).filter("parts > 1").select("bucket", F.col("most.c").alias("main"))
-    mixed_buckets = save(named.join(main, "bucket").filter("b != centre"), "near-mixed")
-    x = mixed_buckets.filter("c != main").select("bucket", "band", F.col("b").alias("a"), F.col("c").alias("c_a"), "main").join(ends(links.reps, "a", "bands"), "a")
-    y = mixed_buckets.select("bucket", "b", "c").join(ends(links.reps, "b", "bands"), "b")
-    once = (F.col("c") == F.col("main")) | (F.col("a") < F.col("b"))
-    # a pair that shares several buckets is told in the first of them
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda i, j: i == j), True) == F.col("band") + 1
-    return x.join(y, "bucket").filter((F.col("c_a") != F.col("c")) & once & close(links.percent) & first).select("a", "b").distinct()
+    torn = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
+    groups = components(named.join(torn, "bucket", "left_semi").select(F.col("centre").alias("a"), "b"))
+
+    parts = links.parts.select(F.col("node").alias("x"), F.col("component").alias("c"))
+    sized = groups.select(F.col("node").alias("x"), F.col("component").alias("g")).join(links.reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n")), "x")
+    band = F.floor(F.log("n") / F.lit(-math.log(p / 100) * (1 + 1e-9)) if p < 100 else F.col("n"))
+    placed = sized.join(parts, "x", "left").select("x", "n", F.coalesce("c", "x").alias("c"), "g", F.explode(F.array(band, band + 1) if p < 100 else F.array(band)).alias("band"))
+    placed = save(placed.select("x", "n", "c", F.xxhash64("g", "band").alias("group")), "near-placed")
+    torn = placed.groupBy("group").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("group", "m")
+    members = save(join_groups(placed, save(torn, "near-torn"), "group", "m"), "near-members")
+    links.need_sets(members.select(F.col("x").alias("doc_id")).distinct())
+    members = save(members.join(links.sets.select(F.col("doc_id").alias("x"), "shingles"), "x"), "near-members")
+
+    drawn = members.filter(F.pmod(F.xxhash64("x"), F.greatest(F.lit(1), F.floor(F.col("m") / CORE_MEMBERS))) == 0)
+    told = drawn.select("group", "m", F.explode("shingles").alias("e")).groupBy("group", "m", "e").agg(F.count("*").alias("k"))
+    held = told.join(drawn.groupBy("group").agg(F.count("*").alias("drawn")), "group").filter("2 * k > drawn")
+    cores = held.groupBy("group").agg(F.max("m").alias("m"), F.collect_list("e").alias("core"))
+    bare = placed.select("group").distinct().join(cores.select("group"), "group", "left_anti").select("group", F.lit(0).alias("m"), F.array().cast("array<long>").alias("core"))
+    cores = save(cores.unionByName(bare), "near-cores")
+    differ = F.array_union(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    apart = join_groups(members.drop("m"), cores, "group", "m").select("group", "x", "n", "c", "m", differ.alias("d"))
+    apart = save(apart.withColumn("w", F.size("d") * (100 + p) - F.col("n") * (100 - p)), "near-apart")
+    least = apart.groupBy("group").agg(F.max("m").alias("m"), F.min(F.struct("w", F.col("x").alias("z"), F.col("c").alias("c_z"))).alias("least"))
+    least = save(least.select("group", "m", F.col("least.w").alias("w_z"), F.col("least.z").alias("z"), F.col("least.c_z").alias("c_z")), "near-least")
+    judged = join_groups(apart.drop("m"), least, "group", "m")
+    main = (F.col("c") == F.col("c_z")) | (F.col("w") + F.col("w_z") <= 0)
+    # the least weight of documents outside the main component
+    other = F.greatest(F.col("w_z"), 1 - F.col("w_z"))
+
+    def prefix(weight: Column) -> Column:
+        """Of a document's rarest differences so many that any link to a document of at least ``weight`` shows in them."""
+        return F.size("d") - F.ceil((F.col("w") + weight) / (2 * (100 + p))) + 1
+
+    judged = judged.select("group", "x", "c", "z", "c_z", "w", "w_z", "d", main.alias("main"), prefix(other).alias("near"), prefix(F.col("w_z")).alias("far"))
+    judged = save(judged, "near-judged")
+    star = judged.filter("c <> c_z and w + w_z <= 0").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"))
+
+    few = judged.groupBy("group").agg(F.min("main").alias("all_main")).filter("not all_main").select("group")
+    rows = save(judged.join(few, "group", "left_semi").select("group", "x", "c", "main", "near", "far", F.explode("d").alias("e")), "near-elements")
+    often = rows.groupBy("group", "e").agg(F.count("*").alias("k"))
+    order = Window.partitionBy("group", "x").orderBy("k", "e")
+    listed = rows.join(often, ["group", "e"]).withColumn("place", F.row_number().over(order)).filter("k > 1 and place <= greatest(near, far)")
+    listed = save(listed.select("group", "x", "c", "main", "near", "far", "place", "e"), "near-listed")
+    ours = listed.filter("not main").select("group", "e", F.col("x").alias("a"), F.col("c").alias("c_a"), (F.col("place") <= F.col("near")).alias("near_a"))
+    theirs = listed.filter("place <= near").select("group", "e", F.col("x").alias("b"), F.col("c").alias("c_b"), "main")
+    met = ours.join(theirs, ["group", "e"]).filter("c_a <> c_b and (main or near_a and a < b)")
+    pairs = links.sift(save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-met"))
+    return star.unionByName(pairs.select("a", "b")).distinct()

@@ -10,7 +10,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-from .common import once
+from .common import as_bytes, once, slices
 
 #: Pieces that a worker remembers in each of two generations, and the longest that it remembers: some 60 MB in all.
 CACHED_PIECES, LONGEST_PIECE = 150_000, 48
@@ -47,14 +47,6 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
 
 
-def as_bytes(column: pa.BinaryArray) -> list[bytes]:
-    """The values of a column without nulls."""
-    _, ends, data = column.buffers()
-    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    raw = bytes(data)
-    return [raw[a:b] for a, b in zip(ends, ends[1:])]
-
-
 def at_next(flags: np.ndarray) -> np.ndarray:
     return np.r_[flags[1:], False]
 
@@ -195,12 +187,8 @@ class Encoder:
         if not self.fast:
             yield from (self.whole(x.as_py()) for x in texts)
             return
-        before = np.r_[0, np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)]
-        at = 0
-        while at < len(texts):
-            n = max(1, int(np.searchsorted(before, before[at] + SLICE_BYTES, "right")) - 1 - at)
-            yield from self.slice(texts.slice(at, n))
-            at += n
+        for part in slices(texts, SLICE_BYTES):
+            yield from self.slice(part)
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all(pa.array([text], pa.string())))

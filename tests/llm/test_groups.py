@@ -133,3 +133,23 @@ def test_long_chain(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(documents(spark, texts), 2).collect()}
     assert got == brute_components(enumerate(texts), 2, 80)
     assert {c for _, c in got.values()} == {0}
+
+
+@pytest.mark.parametrize(("words", "percent", "members"), [(2, 80, 32), (2, 80, 1), (3, 60, 32)])
+def test_near_groups_of_one_large_family(spark, monkeypatch, words, percent, members):
+    """Copies of copies, many of them just below the threshold, in the same buckets: no link is lost, few pairs are formed."""
+    rng = random.Random(words + percent)
+    base = [f"b{i}" for i in range(120)]
+    texts = [*variants(rng, base, 250, 24), *variants(rng, base + base[:30], 60, 20)]
+    for parent in rng.sample(texts, 25):
+        texts += variants(rng, parent.split(), 4, 5)
+    texts += [" ".join(base[i : i + 100]) for i in range(20)] + TEXTS
+    rng.shuffle(texts)
+    formed = []
+    left_over = near_dedup.left_over
+    monkeypatch.setattr(near_dedup, "CORE_MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "left_over", lambda *a: formed.append(left_over(*a)) or formed[0])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(documents(spark, texts), words, percent).collect()}
+    assert got == brute_components(enumerate(texts), words, percent)
+    assert len({c for _, c in got.values()}) > 20
+    assert members == 1 or formed[0].count() < 15 * len(texts)  # a core of one member fits badly
