@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def drop(*saved: DataFrame) -> None:
 
 
 #: Bytes of rows that a Python worker gets at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -142,3 +143,13 @@ def once(key: tuple, make: Callable[[], object]) -> object:
         kept["value"] = None
         kept["value"], kept["key"] = make(), key
     return kept["value"]
+
+
+def tidied(batches: Iterable, keep: bool = False) -> Iterator:
+    """The same batches; then, as workers stay for the next stage, memory goes back to the system, at once what ``once`` holds too unless ``keep``."""
+    if not keep:
+        sys.modules.pop("_allelic_worker", None)
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop, join_groups, save, slices, small_batches
+from .common import as_bytes, drop, join_groups, save, slices, small_batches, tidied
 
 BANDS, ROWS = 32, 4
 #: MinHash values of a document for its bands.
@@ -23,7 +23,7 @@ BIN_BITS, SKETCH_BITS = 10, 2048
 #: Standard deviations below the wanted similarity at which a sketch still leads to a full comparison.
 SIGMAS = 5
 #: Bytes of text that are cut into words at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Members of a group from which its core is made, about; the result doesn't depend on it.
 CORE_MEMBERS = 32
 #: ASCII white space between words.
@@ -106,7 +106,7 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
 
 def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     kind, names = pa.list_(pa.int64()), ["doc_id", "n_shingles", "digest", "bands", "n_samples", "sketch"]
-    for batch in batches:
+    for batch in tidied(batches):
         sets = all_shingles(batch.column(1), words)
         for at in range(0, len(batch), 256):
             ids = batch.column(0).slice(at, 256)
@@ -123,7 +123,7 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidied(batches):
         sets = all_shingles(batch.column(1), words)
         for at in range(0, len(batch), 64):
             ids = batch.column(0).slice(at, 64)

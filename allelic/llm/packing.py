@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import save, small_batches, tidied
 from .tokens import encoder
 
 LENGTH = 2048
@@ -36,7 +36,7 @@ def cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, length:
     def close() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    for batch in batches:
+    for batch in tidied(batches, keep=True):
         for doc, found in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1)), strict=True):
             ids = np.concatenate([found.astype("<u4"), end])
             for piece, start in enumerate(range(0, len(ids), length)):

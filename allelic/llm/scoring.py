@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import save, small_batches, tidied
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
@@ -31,7 +31,7 @@ def score_column(make: Callable[[], Callable[[str], float]], text: str = "text")
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = make()
-        for batch in batches:
+        for batch in tidied(batches):
             yield pd.Series([of(x or "") for x in batch], dtype="float64")
 
     return scored(F.col(text).cast("string"))

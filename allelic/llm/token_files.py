@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, save, small_batches
+from .common import drop, partitions, save, small_batches, tidied
 from .tokens import Encoder, encoder
 
 #: Longest code, in bits; tables of 2 ** LIMIT entries decode it.
@@ -127,7 +127,7 @@ def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, voc
         np.add(counts, np.bincount(ids, minlength=vocabulary), out=counts)
         return row(block, docs, [len(x) + 1 for x in data], held, ids.tobytes())
 
-    for batch in batches:
+    for batch in tidied(batches, keep=True):
         for doc, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1)), strict=True):
             docs.append(doc)
             data.append(ids)
@@ -143,7 +143,7 @@ def tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, voc
 
 def compress(batches: Iterator[pa.RecordBatch], dtype: np.dtype, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     codes = canonical_codes(lengths)
-    for batch in batches:
+    for batch in tidied(batches):
         at = batch.schema.get_field_index("ids")
         for i in range(len(batch)):
             row = batch.slice(i, 1)
@@ -154,7 +154,7 @@ def compress(batches: Iterator[pa.RecordBatch], dtype: np.dtype, lengths: np.nda
 
 def decompress(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, with_ids: bool) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(lengths)
-    for batch in batches:
+    for batch in tidied(batches):
         for i in range(len(batch)):
             row = batch.slice(i, 1).to_pylist()[0]
             ids = decoder.decode(row["bits"], row["checkpoints"], row["n"]).astype("<u4")

@@ -12,10 +12,10 @@ import pyarrow as pa
 
 from .common import as_bytes, once, slices
 
-#: Pieces that a worker remembers in each of two generations, and the longest that it remembers: some 60 MB in all.
-CACHED_PIECES, LONGEST_PIECE = 150_000, 48
+#: Pieces that a worker remembers in each of two generations, and the longest that it remembers: some 50 MB in all.
+CACHED_PIECES, LONGEST_PIECE = 120_000, 48
 #: Bytes of text that are cut at once; the arrays for it take about 15 times as much.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Pre-tokenizers of the two public files, which ``starts`` follows within plain text.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
