@@ -5,8 +5,30 @@ from pyspark.sql import functions as F
 
 
 def info_map(info: Column) -> Column:
-    """``k=v;flag`` as a map; a flag has a null value; '' and '.' give an empty map."""
-    return F.when(info.isNull() | info.isin("", "."), F.expr("map()").cast("map<string,string>")).otherwise(F.str_to_map(info, F.lit(";"), F.lit("=")))
+    """``k=v;flag`` as a map; a flag has a null value; '' and '.' give an empty map. Of a repeated key the last counts."""
+    parts = F.split(info, ";")
+    keys = F.transform(parts, lambda x: F.substring_index(x, "=", 1))
+    # only lines that repeat a key take the longer way
+    last = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda y: F.substring_index(y, "=", 1) == F.substring_index(x, "=", 1)))
+    sound = F.when(F.size(F.array_distinct(keys)) == F.size(keys), info).otherwise(F.array_join(last, ";"))
+    return F.when(info.isNull() | info.isin("", "."), F.expr("map()").cast("map<string,string>")).otherwise(F.str_to_map(sound, F.lit(";"), F.lit("=")))
+
+
+def info_value(info: Column, key: str) -> Column:
+    """The last value of ``key`` in INFO text, null if there is none; no map is made."""
+    found = F.concat(F.lit(";"), info)
+    return F.when(found.contains(f";{key}="), F.regexp_extract(found, f".*;{key}=([^;]*)", 1))
+
+
+def info_flag(info: Column, key: str) -> Column:
+    """Whether INFO text has ``key``, as a flag or with a value."""
+    found = F.concat(F.lit(";"), F.coalesce(info, F.lit("")), F.lit(";"))
+    return found.contains(f";{key};") | found.contains(f";{key}=")
+
+
+def info_told(info: Column, key: str) -> Column:
+    """``info_present`` on INFO text."""
+    return info_flag(info, key) & ~F.coalesce(info_value(info, key), F.lit("x")).isin("", ".")
 
 
 def info_present(info: Column, key: str) -> Column:
@@ -42,19 +64,21 @@ def short_plain_alleles(ref: Column, alt: Column, longest: int = 50) -> Column:
 
 
 def golden_category(highlighted: Column, clnsig: Column, cosmic: Column, svtype: Column, id_: Column) -> Column:
-    return F.when(highlighted, "HIGHLIGHTED").when(clnsig.isNotNull(), "CLINVAR").when(cosmic.isNotNull(), "COSMIC").when(svtype.isNotNull(), "SV").when(id_.startswith("rs"), "RSID").otherwise("BACKGROUND")
+    """Null for variants that are no members; an empty or ``.`` significance tells nothing."""
+    said = lambda x: F.coalesce(x, F.lit("")) != ""
+    return F.when(highlighted, "HIGHLIGHTED").when(said(clnsig) & (clnsig != "."), "CLINVAR").when(said(cosmic), "COSMIC").when(said(svtype), "SV").when(id_.startswith("rs"), "RSID")
 
 
 def payload(**fields: Column) -> Column:
-    """``k=v`` pairs joined by ``;``, nulls left out, separators scrubbed; '.' if there are none."""
-    pairs = [F.when(v.isNotNull(), F.concat(F.lit(k + "="), F.translate(v.cast("string"), "\t;\n", "   "))) for k, v in fields.items()]
+    """``k=v`` pairs joined by ``;``, nulls left out, tabs and line ends become spaces, semicolons commas; '.' if there are none."""
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(k + "="), F.translate(v.cast("string"), "\t;\n", " , "))) for k, v in fields.items()]
     text = F.concat_ws(";", *pairs)
     return F.when(text == "", ".").otherwise(text)
 
 
 def genome_build(reference: Column) -> Column:
     r = F.lower(reference)
-    return F.when(r.rlike("grch37|b37|hs37d5|hg19"), "GRCh37").when(r.rlike("grch38|b38|hg38"), "GRCh38")
+    return F.when(r.rlike("grch37|b37|hs37d5|hg19"), "GRCh37").when(r.rlike("grch38|b38|hg38|hs38"), "GRCh38")
 
 
 def human_size(n: Column) -> Column:

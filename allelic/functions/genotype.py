@@ -15,10 +15,11 @@ def is_dropout(gt: Column) -> Column:
 
 
 def dosage(gt: Column) -> Column:
-    """Alleles that aren't the reference, of two called ones; null for missing and haploid calls."""
+    """Alleles that aren't the reference, of two called ones; null for missing, haploid and malformed calls."""
     a = alleles(gt)
+    one, two = a[0].try_cast("int"), F.get(a, F.lit(1)).try_cast("int")
     called = ~is_dropout(gt) & (F.size(a) == 2)
-    return F.when(called, (a[0] != "0").cast("int") + (F.get(a, F.lit(1)) != "0").cast("int"))
+    return F.when(called, (one > 0).cast("int") + (two > 0).cast("int"))
 
 
 def is_het(gt: Column) -> Column:

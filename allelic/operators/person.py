@@ -81,15 +81,18 @@ def false_discovery(noisy: DataFrame) -> DataFrame:
 
 
 def golden_bed(calls: DataFrame) -> DataFrame:
-    """BED4 of true variants with their category."""
-    m = A.info_map(F.col("info"))
-    category = A.golden_category(F.map_contains_key(m, "HIGHLIGHT"), m["CLNSIG"], m["COSMIC_ID"], m["SVTYPE"], F.col("id"))
-    end = V.bed_end(F.col("pos"), F.col("ref"), F.when(V.is_symbolic(F.col("alt")), F.col("pos") + 100))
-    text = A.payload(category=category, id=F.when(F.col("id") != ".", F.col("id")), ref=F.col("ref"), alt=F.col("alt"), gt=F.col("gt"))
-    return calls.select("sample", "chrom", (F.col("pos") - 1).alias("start"), end.cast("long").alias("end"), text.alias("payload"))
+    """BED4 of true variants that are members of a category, with what is known of them."""
+    info = F.col("info")
+    known = {key.lower(): A.info_value(info, key) for key in ("CLNSIG", "CLNDN", "COSMIC_ID", "COSMIC_GENE", "SVTYPE", "SVLEN")}
+    category = A.golden_category(A.info_flag(info, "HIGHLIGHT"), known["clnsig"], known["cosmic_id"], known["svtype"], F.col("id"))
+    end = V.bed_end(F.col("pos"), F.col("ref"), A.info_value(info, "END").try_cast("long"))
+    own = calls.withColumn("flag", category).filter("flag is not null")
+    text = A.payload(flag=F.col("flag"), id=F.when(F.col("id") == "", ".").otherwise(F.coalesce("id", F.lit("."))), ref=F.col("ref"), alt=F.col("alt"), gt=F.col("gt"), **known)
+    return own.select("sample", "chrom", (F.col("pos") - 1).alias("start"), end.cast("long").alias("end"), text.alias("payload"))
 
 
 def noise_bed(noisy: DataFrame) -> DataFrame:
     own = noisy.filter("noise is not null")
-    text = A.payload(type=F.col("noise"), true_gt=F.col("true_gt"), called_gt=F.col("gt"))
-    return own.select("sample", "chrom", (F.col("pos") - 1).alias("start"), V.bed_end(F.col("pos"), F.col("ref"), F.lit(None).cast("long")).cast("long").alias("end"), text.alias("payload"))
+    text = A.payload(flag=F.upper("noise"), id=F.when(F.col("id") == "", ".").otherwise(F.coalesce("id", F.lit("."))), ref=F.col("ref"), alt=F.col("alt"), truth_gt=F.col("true_gt"), called_gt=F.col("gt"))
+    end = V.bed_end(F.col("pos"), F.col("ref"), A.info_value(F.col("info"), "END").try_cast("long"))
+    return own.select("sample", "chrom", (F.col("pos") - 1).alias("start"), end.cast("long").alias("end"), text.alias("payload"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import variant as V
-from ..functions.annotation import info_map, info_present
+from ..functions.annotation import info_flag, info_told, info_value
 
 
 def count_if(test: Column) -> Column:
@@ -18,9 +18,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def described(calls: DataFrame) -> DataFrame:
-    """Calls with class, transition, dosage and parsed INFO; a lone '.' ALT is no variant."""
+    """Calls with class, transition, and dosage; a lone '.' ALT is no variant."""
     return calls.filter("alt != '.'").withColumns({
-        "class": V.variant_class(F.col("ref"), F.col("alt")), "is_ti": V.is_transition(F.col("ref"), F.col("alt")), "d": G.dosage(F.col("gt")), "m": info_map(F.col("info")),
+        "class": V.variant_class(F.col("ref"), F.col("alt")), "is_ti": V.is_transition(F.col("ref"), F.col("alt")), "d": G.dosage(F.col("gt")),
     })
 
 
@@ -39,9 +39,9 @@ def sample_summary(calls: DataFrame, build: str = "GRCh38") -> DataFrame:
     y, mt = c == "Y", c.isin("MT", "M")
     y_out = y & ~V.in_par(build, F.col("chrom"), F.col("pos"))
     out = described(calls).groupBy("sample").agg(
-        *[v.alias(k) for k, v in counters().items()], count_if(F.col("m")["AC"] == "1").alias("n_singleton"),
-        count_if(F.col("id").startswith("rs") | info_present(F.col("m"), "RS")).alias("n_rsid"), count_if(info_present(F.col("m"), "CLNSIG")).alias("n_clinvar"),
-        count_if(info_present(F.col("m"), "COSMIC_ID")).alias("n_cosmic"), count_if(F.map_contains_key("m", "HIGHLIGHT")).alias("n_highlight"),
+        *[v.alias(k) for k, v in counters().items()], count_if(info_value(F.col("info"), "AC") == "1").alias("n_singleton"),
+        count_if(F.col("id").startswith("rs") | info_told(F.col("info"), "RS")).alias("n_rsid"), count_if(info_told(F.col("info"), "CLNSIG")).alias("n_clinvar"),
+        count_if(info_told(F.col("info"), "COSMIC_ID")).alias("n_cosmic"), count_if(info_flag(F.col("info"), "HIGHLIGHT")).alias("n_highlight"),
         count_if(y).alias("n_y"), count_if(y_out).alias("n_y_non_par"), count_if(y_out & het).alias("n_y_non_par_het"), count_if(mt).alias("n_mt"), count_if(mt & het).alias("n_mt_het"),
     )
     return out.withColumns({"titv": ratio(F.col("n_ti"), F.col("n_tv")), "het_hom": ratio(F.col("n_het"), F.col("n_hom_alt"))})
@@ -86,7 +86,7 @@ def histogram(values: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def af_histogram(calls: DataFrame, bins: int = 10) -> DataFrame:
-    af = F.split(info_map(F.col("info"))["AF"], ",")[0].try_cast("double")
+    af = F.split(info_value(F.col("info"), "AF"), ",")[0].try_cast("double")
     return histogram(calls.select(af.alias("af")).filter("af is not null"), "af", bins)
 
 
@@ -97,7 +97,7 @@ def indel_lengths(calls: DataFrame) -> DataFrame:
 
 def sv_types(calls: DataFrame) -> DataFrame:
     own = calls.filter(V.is_symbolic(F.col("alt")))
-    return own.groupBy(F.coalesce(info_map(F.col("info"))["SVTYPE"], F.lit("OTHER")).alias("svtype")).agg(F.count("*").alias("n"))
+    return own.groupBy(F.coalesce(info_value(F.col("info"), "SVTYPE"), F.lit("OTHER")).alias("svtype")).agg(F.count("*").alias("n"))
 
 
 def region_density(calls: DataFrame, width: int = 1_000_000) -> DataFrame:
@@ -111,8 +111,7 @@ def density_summary(density: DataFrame) -> DataFrame:
 
 def overlay_density(calls: DataFrame) -> DataFrame:
     """How many records carry each overlay; an rs number counts in the ID column or in INFO/RS."""
-    m = info_map(F.col("info"))
-    tests = {"rsid": F.col("id").startswith("rs") | info_present(m, "RS"), "clinvar": info_present(m, "CLNSIG"), "cosmic": info_present(m, "COSMIC_ID")}
+    tests = {"rsid": F.col("id").startswith("rs") | info_told(F.col("info"), "RS"), "clinvar": info_told(F.col("info"), "CLNSIG"), "cosmic": info_told(F.col("info"), "COSMIC_ID")}
     one = calls.agg(F.count("*").alias("total"), *[count_if(t).alias(k) for k, t in tests.items()])
     long = one.select("total", F.expr("stack(3, 'rsid', rsid, 'clinvar', clinvar, 'cosmic', cosmic) as (overlay, n)"))
     return long.select("overlay", "n", "total", ratio(F.col("n"), F.col("total")).alias("fraction"))

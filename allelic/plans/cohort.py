@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import variant as V
-from ..functions.annotation import info_present
+from ..functions.annotation import info_flag, info_told, info_value
 from ..operators import matrix as M
 from ..operators import segments as S
 from ..operators import summary as A
@@ -29,8 +29,8 @@ def sample_summary(spark, sf_dir):
         CASE WHEN i = 1 THEN 3 ELSE ad_alt END AS ad_alt, CAST(dd AS VARCHAR) AS ac, CASE dd WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS af, is_high AS highlighted, has_clnsig FROM r""")
 def scan_records_split_alt(spark, sf_dir):
     out = vcf.parse_records(D.vcf_lines(spark, sf_dir))
-    m = F.col("info")
-    return out.select("ord", "chrom", "pos", "id", "ref", F.col("i").cast("int").alias("i"), "alt", "gt", "dp", "gq", "ad_ref", "ad_alt", m["AC"].alias("ac"), m["AF"].try_cast("double").alias("af"), F.map_contains_key(m, "HIGHLIGHT").alias("highlighted"), info_present(m, "CLNSIG").alias("has_clnsig"))
+    t = F.col("info_text")
+    return out.select("ord", "chrom", "pos", "id", "ref", F.col("i").cast("int").alias("i"), "alt", "gt", "dp", "gq", "ad_ref", "ad_alt", info_value(t, "AC").alias("ac"), info_value(t, "AF").try_cast("double").alias("af"), info_flag(t, "HIGHLIGHT").alias("highlighted"), info_told(t, "CLNSIG").alias("has_clnsig"))
 
 
 @plan(f"WITH {CALLS} SELECT class AS variant_class, is_ti, count(*) AS n FROM calls GROUP BY ALL")

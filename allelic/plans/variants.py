@@ -143,9 +143,9 @@ def dense_roundtrip(spark, sf_dir):
     return P.dense(P.carriers(c), c.select("site", "ord", F.substring("sample", 2, 10).cast("long").alias("person")))
 
 
-@plan(f"""WITH {CALLS} SELECT sample, chrom, pos - 1 AS "start", CASE WHEN is_sv THEN pos + 100 ELSE pos - 1 + length(ref) END AS "end",
-    'category=' || CASE WHEN is_high THEN 'HIGHLIGHTED' WHEN has_clnsig THEN 'CLINVAR' WHEN has_cosmic THEN 'COSMIC' WHEN is_sv THEN 'SV' WHEN id LIKE 'rs%' THEN 'RSID' ELSE 'BACKGROUND' END
-    || CASE WHEN id <> '.' THEN ';id=' || id ELSE '' END || ';ref=' || ref || ';alt=' || alt || ';gt=' || gt AS payload FROM calls WHERE gt <> '0|0'""")
+@plan(f"""WITH {CALLS}, g AS (SELECT *, CASE WHEN is_high THEN 'HIGHLIGHTED' WHEN has_clnsig THEN 'CLINVAR' WHEN has_cosmic THEN 'COSMIC' WHEN is_sv THEN 'SV' WHEN id LIKE 'rs%' THEN 'RSID' END AS flag FROM calls WHERE gt <> '0|0')
+    SELECT sample, chrom, pos - 1 AS "start", pos - 1 + length(ref) AS "end", 'flag=' || flag || ';id=' || id || ';ref=' || ref || ';alt=' || alt || ';gt=' || gt || CASE WHEN has_clnsig THEN ';clnsig=Pathogenic' ELSE '' END
+        || CASE WHEN has_cosmic THEN ';cosmic_id=COSV' || CAST(site AS VARCHAR) ELSE '' END || CASE WHEN is_sv THEN ';svtype=' || substr(alt, 2, 3) ELSE '' END AS payload FROM g WHERE flag IS NOT NULL""")
 def golden_bed(spark, sf_dir):
     return P.golden_bed(D.calls(spark, sf_dir).filter("gt != '0|0'"))
 
@@ -164,7 +164,7 @@ def noise_model(spark, sf_dir):
     return noisy(spark, sf_dir).select("sample", "ord", "true_gt", "gt", "noise", "dp")
 
 
-@plan(f"""WITH {CALLS}, {NOISE} SELECT sample, chrom, pos - 1 AS "start", pos - 1 + length(ref) AS "end", 'type=' || noise || ';true_gt=' || gt || ';called_gt=' || new_gt AS payload FROM noisy WHERE noise IS NOT NULL""")
+@plan(f"""WITH {CALLS}, {NOISE} SELECT sample, chrom, pos - 1 AS "start", pos - 1 + length(ref) AS "end", 'flag=' || upper(noise) || ';id=' || id || ';ref=' || ref || ';alt=' || alt || ';truth_gt=' || gt || ';called_gt=' || new_gt AS payload FROM noisy WHERE noise IS NOT NULL""")
 def noise_bed(spark, sf_dir):
     return P.noise_bed(noisy(spark, sf_dir))
 
@@ -323,7 +323,7 @@ def contig_sorted_export(spark, sf_dir):
     return c.orderBy("o", "pos", "ord").select("ord", "o", F.concat_ws(" ", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "gt").alias("line"))
 
 
-@plan(f"WITH {CATALOGUE} SELECT ord, translate(clndn, ';= ', ',__') AS clean, ('category=' || p_size || ';text=' || translate(clndn, ';', ' ')) AS payload, string_split_regex(clnsig, '[|,] ?')[1] AS first_term, CASE WHEN p_retailprice < 1024 THEN printf('%.1f B', p_retailprice) ELSE printf('%.1f KB', p_retailprice / 1024) END AS size FROM cat")
+@plan(f"WITH {CATALOGUE} SELECT ord, translate(clndn, ';= ', ',__') AS clean, ('category=' || p_size || ';text=' || translate(clndn, ';', ',')) AS payload, string_split_regex(clnsig, '[|,] ?')[1] AS first_term, CASE WHEN p_retailprice < 1024 THEN printf('%.1f B', p_retailprice) ELSE printf('%.1f KB', p_retailprice / 1024) END AS size FROM cat")
 def text_fields(spark, sf_dir):
     c = D.catalogue(spark, sf_dir)
     return c.select("ord", N.sanitised(F.col("clndn")).alias("clean"), N.payload(category=F.col("p_size"), text=F.col("clndn")).alias("payload"), N.terms(F.col("clnsig"))[0].alias("first_term"), N.human_size(F.col("p_retailprice")).alias("size"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotation import info_map, payload
@@ -22,17 +22,31 @@ HEADER = """##fileformat=VCFv4.2
 def parse_records(lines: DataFrame) -> DataFrame:
     """Single-sample lines (column ``value``) to one row for each ALT allele.
 
-    Header and short lines are left out; depth and quality that aren't numbers are 0;
-    every ALT row has the call's genotype and its own allelic depth.
+    Header lines, short ones and those without a position are left out; depth and quality that aren't numbers are 0;
+    every ALT row has the call's genotype and its own allelic depth. INFO is there as text and as a map;
+    single keys are told fastest from the text.
     """
-    f = F.split("value", "\t")
-    wide = lines.filter(~F.col("value").startswith("#")).withColumn("f", f).filter(F.size("f") >= 10)
-    call = F.map_from_arrays(F.split(F.col("f")[8], ":"), F.slice(F.concat(F.split(F.col("f")[9], ":"), F.array_repeat(F.lit("."), F.size(F.split(F.col("f")[8], ":")))), F.lit(1), F.size(F.split(F.col("f")[8], ":"))))
-    wide = wide.withColumn("c", call)
-    depth = F.split(F.col("c")["AD"], ",")
-    number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))
     keep = [c for c in lines.columns if c != "value"]
-    return wide.select(*keep, F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), F.posexplode(F.split(F.col("f")[4], ",")).alias("i", "alt"), F.col("c")["GT"].alias("gt"), number(F.col("c")["DP"]).alias("dp"), number(F.col("c")["GQ"]).alias("gq"), number(depth[0]).alias("ad_ref"), depth.alias("depths"), info_map(F.col("f")[7]).alias("info")).withColumn("ad_alt", number(F.get("depths", F.col("i") + 1))).drop("depths")
+    wide = lines.filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 10)
+    # a generator ends what the optimizer may fold into one expression, so each line is split once
+    rows = wide.select(*keep, "f", F.posexplode(F.split(F.col("f")[4], ",")).alias("i", "alt"))
+    rows = rows.select(*keep, "f", "i", "alt", F.split(F.col("f")[8], ":").alias("keys"), F.split(F.col("f")[9], ":").alias("values"))
+
+    def value(key: str) -> Column:
+        """Of the last field of that name; a field that the call lacks is missing."""
+        at = F.size("keys") - F.array_position(F.reverse("keys"), key)
+        return F.when(F.array_contains("keys", key), F.coalesce(F.get("values", at.cast("int")), F.lit(".")))
+
+    def number(x: Column) -> Column:
+        return F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))
+
+    depths = F.split(value("AD"), ",")
+    out = rows.select(
+        *keep, F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), "i", "alt",
+        value("GT").alias("gt"), number(value("DP")).alias("dp"), number(value("GQ")).alias("gq"), number(F.get(depths, F.lit(0))).alias("ad_ref"),
+        F.col("f")[7].alias("info_text"), info_map(F.col("f")[7]).alias("info"), number(F.get(depths, F.col("i") + 1)).alias("ad_alt"),
+    )
+    return out.filter("pos is not null")
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from allelic.functions import annotation as N
 from allelic.functions import draws
 from allelic.functions import genotype as G
 from allelic.functions import variant as V
-from allelic.operators import catalogue, generate, matrix, report, scan, segments, summary
+from allelic.operators import catalogue, generate, matrix, person, report, scan, segments, summary
 from allelic.sources import vcf
 from allelic.streaming import emit
 
@@ -23,6 +23,7 @@ def column(spark, kind, values, expr):
 def test_dosage(spark):
     gts = ["0|0", "0/0", "0|1", "1|0", "1|1", "1|2", "./.", ".|.", "./1", "1", "0"]
     gt = F.col("gt")
+    assert column(spark, "gt string", ["a|0", "0|", "|1", "2/0", "0|1|1"], G.dosage(gt)) == [None, None, None, 1, None]
     assert column(spark, "gt string", gts, G.dosage(gt)) == [0, 0, 1, 1, 2, 2, None, None, None, None, None]
     assert column(spark, "gt string", gts, G.is_het(gt)) == [False, False, True, True, False, True, False, False, False, False, False]
     assert column(spark, "gt string", gts, G.is_dropout(gt)) == [False] * 6 + [True] * 3 + [False] * 2
@@ -46,6 +47,41 @@ def test_info(spark):
     assert column(spark, "info string", infos, N.info_present(m, "RS")) == [False] * 7
 
 
+def test_info_with_repeated_keys(spark):
+    infos = ["A=1;B=2;A=3", "A;A=x=y;A", "RS=.", "XA=5", None, "B=1;A="]
+    m, info = N.info_map(F.col("info")), F.col("info")
+    assert [dict(x) for x in column(spark, "info string", infos, m)] == [{"B": "2", "A": "3"}, {"A": None}, {"RS": "."}, {"XA": "5"}, {}, {"B": "1", "A": ""}]
+    assert column(spark, "info string", infos, N.info_flag(info, "A")) == [True, True, False, False, False, True]
+    assert column(spark, "info string", [infos[0], *infos[2:]], N.info_value(info, "A")) == ["3", None, None, None, ""]
+    for key in ("A", "RS", "B"):
+        assert column(spark, "info string", infos, N.info_told(info, key)) == column(spark, "info string", infos, N.info_present(m, key))
+
+
+def test_parsing_of_awkward_lines(spark):
+    line = lambda *f: ("\t".join(f),)
+    rows = [
+        line("1", "7", ".", "A", "G,T", ".", "PASS", "AC=1;AC=2", "GT:AD:GT", "0|1:3,4,5:1|1"), line("1", "x", ".", "A", "G", ".", ".", ".", "GT", "0|1"),
+        line("1", "9", ".", "A", "G", ".", ".", ".", "GT:DP:AD", "0|1"), line("1", "9", ".", "A"), line("#CHROM"),
+    ]
+    got = vcf.parse_records(spark.createDataFrame(rows, "value string")).orderBy("pos", "i").collect()
+    assert [(r["pos"], r["alt"], r["gt"], r["dp"], r["ad_ref"], r["ad_alt"]) for r in got] == [(7, "G", "1|1", 0, 3, 4), (7, "T", "1|1", 0, 3, 5), (9, "G", "0|1", 0, 0, 0)]
+    assert got[0]["info"] == {"AC": "2"} and got[2]["info"] == {}
+
+
+def test_truth_rows(spark):
+    rows = [
+        (1, ".", "A", "G", "0|1", "CLNSIG=."), (2, "rs2", "AC", "G", "0|1", "CLNSIG=.;CLNDN=a"), (3, ".", "A", "<DEL>", "1|1", "SVTYPE=DEL;SVLEN=-50;END=53"),
+        (4, ".", "A", "G", "0|1", "HIGHLIGHT;CLNSIG=Benign"), (5, "", "A", "G", "0|1", "COSMIC_ID=C1;COSMIC_GENE=X"),
+    ]
+    calls = spark.createDataFrame([("s", "1", *r) for r in rows], "sample string, chrom string, pos long, id string, ref string, alt string, gt string, info string")
+    assert [tuple(r)[2:] for r in person.golden_bed(calls).orderBy("start").collect()] == [
+        (1, 3, "flag=RSID;id=rs2;ref=AC;alt=G;gt=0|1;clnsig=.;clndn=a"), (2, 53, "flag=SV;id=.;ref=A;alt=<DEL>;gt=1|1;svtype=DEL;svlen=-50"),
+        (3, 4, "flag=HIGHLIGHTED;id=.;ref=A;alt=G;gt=0|1;clnsig=Benign"), (4, 5, "flag=COSMIC;id=.;ref=A;alt=G;gt=0|1;cosmic_id=C1;cosmic_gene=X"),
+    ]
+    assert column(spark, "x string", ["a;b\tc"], N.payload(k=F.col("x"))) == ["k=a,b c"]
+    assert column(spark, "x string", ["hs38DH.fa", "x"], N.genome_build(F.col("x"))) == ["GRCh38", None]
+
+
 def test_rs_ids(spark):
     pairs = [("rs5;x", None), ("77", None), (".", "12,13"), (".", "rs9"), (".", None), ("abc", ".")]
     assert column(spark, "id string, rs string", pairs, N.rs_id(F.col("id"), F.col("rs"))) == ["rs5", "rs77", "rs12", "rs9", None, None]
