@@ -17,8 +17,8 @@ PREFIX = 64
 #: Vectors from which pivots are drawn, far apart from each other.
 PIVOT_SAMPLE = 4096
 BLOCK = 8192
-#: Share of a block, by footrule distance, that is compared exactly; small blocks are compared whole.
-RERANKED, LEAST_RERANKED = 0.3, 2000
+#: Share of a block, by footrule distance, that is compared exactly.
+RERANKED = 0.3
 #: Queries that one task holds.
 QUERY_CHUNK = 16384
 
@@ -68,7 +68,7 @@ def search_block(index: pa.Table, queries: pa.Table, pivots: np.ndarray, prefix:
         vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
         starts, weight = np.r_[0, ends[:-1]], (prefix - places).astype(np.float64)
         asked, q_ids = matrix(queries["vector"], pivots.shape[1]), queries["vec_id"].to_numpy()
-        most = max(LEAST_RERANKED, int(np.ceil(reranked * len(ids))), k + 1)
+        most = max(int(np.ceil(reranked * len(ids))), k + 1)
         for q, q_id, order in zip(asked, q_ids, nearest_pivots(asked, pivots, prefix), strict=True):
             near = np.arange(len(ids))
             if most < len(ids):
@@ -89,10 +89,10 @@ def search_block(index: pa.Table, queries: pa.Table, pivots: np.ndarray, prefix:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) without vectors that are null, empty, zero or hold a null or non-finite component."""
+    """(vec_id, vector) without rows whose vec_id is null, and without vectors that are null, empty, zero or hold a null or non-finite component."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     zero = F.forall("embedding", lambda x: x == 0)
-    return vectors.filter(F.col("embedding").isNotNull() & finite).filter(~zero).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).filter(~zero).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 class PermutationIndex:
@@ -142,11 +142,12 @@ class PermutationIndex:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, reranked: float = RERANKED) -> DataFrame:
     """The ``k`` nearest of every row whose vec_id is divisible by ``every``, against all rows.
 
-    Fewer candidates than ``k`` are all given; repeated rows count once each. An
+    Blocks of any size are searched through their inverted files; at a share ``reranked`` of 1
+    the result is exact. Fewer candidates than ``k`` are all given; repeated rows count once each. An
     empty table gives an empty result. Other columns are ignored.
     """
     index = PermutationIndex(vectors)
-    return index.search(index.rows.filter(F.col("vec_id") % every == 0), k)
+    return index.search(index.rows.filter(F.col("vec_id") % every == 0), k, reranked)

@@ -18,7 +18,8 @@ class DigestIndex:
 
     The files carry the layout; the session's catalogue is only told of it, so the
     index outlives the session: open it again with the same path and buckets. A join
-    on the digest reads buckets in place, with no shuffle or sort of the index.
+    on the digest reads buckets in place, with no shuffle of the index; each append adds a sorted file to a
+    bucket, and a bucket of several files is sorted again when it is read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:

@@ -68,7 +68,7 @@ def hits(batches: Iterator[pa.RecordBatch], features: list[str]) -> Iterator[pa.
 
 
 #: Patterns that may go with toxic text; each votes where it is found.
-PATTERNS = [r"!!", r"\?!|!\?", r"\b[A-Z]{4,}\b", r"\b(you|your|du|tu|vous|usted)\b", r"[*#$%&@]{3}", r"\b(hate|kill|die|shut up)\b", r"(.)\1{3}"]
+PATTERNS = [r"!!", r"\?!|!\?", r"\b[A-Z]{4,}\b", r"\b(you|your|tu|vous|usted)\b", r"[*#$%&@]{3}", r"\b(hate|kill|shut up)\b", r"(.)\1{3}"]
 
 
 def patterns(text: str) -> list[int]:
@@ -82,7 +82,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> np.n
     when the label is known are correlated; each one's evidence is divided by one plus its sum
     of such correlations. The given labels are one more voter, right with chance 1 - DOUBT at first.
     """
-    doubt, prior = DOUBT, (labels.mean() * (len(labels) - 2) + 1) / len(labels)
+    doubt, prior = DOUBT, (labels.sum() + 1) / (len(labels) + 2)
     share = np.ones(votes.shape[1])
     posterior = np.where(labels == 1, 1 - doubt, doubt)
     values = [votes == v for v in (-1, 0, 1)]
