@@ -121,7 +121,10 @@ def streaming_ordered_emit(spark, sf_dir):
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or f"file://{tempfile.mkdtemp()}"
     path = f"{root.rstrip('/')}/emit-{uuid.uuid4().hex}"
     s = D.sites(spark, sf_dir).select("site", "chrom", "pos")
     s.repartitionByRange(3, draws.order_key(SEED, "arrive", F.col("site"))).write.parquet(f"{path}/in")
