@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -44,10 +44,20 @@ def sfs_weights(spark: SparkSession, haplotypes: int, alpha: float = 2.0) -> Dat
     return spark.createDataFrame(rows, "k long, low double, high double")
 
 
+def by_chance(rows: DataFrame, table: DataFrame, lines: int, draw: Column) -> DataFrame:
+    """Each row with the line of ``table`` (.., low, high) in which its draw, from 0 to below 1, falls.
+
+    Both meet by the step of 1 / ``lines`` that they are in, so a row is held against the lines of its step only.
+    """
+    step = lambda x: F.floor(x * lines)
+    told = table.withColumn("_step", F.explode(F.sequence(step(F.col("low")), step(F.least("high", F.lit(1.0))))))
+    met = rows.withColumn("_u", draw).withColumn("_step", step(F.col("_u"))).join(told, "_step")
+    return met.filter((F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_step", "_u", "low", "high")
+
+
 def draw_allele_counts(sites: DataFrame, haplotypes: int, seed: int) -> DataFrame:
-    u = sites.withColumn("u", draws.uniform(seed, "sfs", F.col("site")))
-    table = F.broadcast(sfs_weights(sites.sparkSession, haplotypes))  # as many rows as haplotypes
-    return u.join(table, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("site", F.col("k").alias("ac"))
+    found = by_chance(sites, sfs_weights(sites.sparkSession, haplotypes), haplotypes, draws.uniform(seed, "sfs", F.col("site")))
+    return found.select("site", F.col("k").alias("ac"))
 
 
 def titv_alt(sites: DataFrame, seed: int, ratio: float = 2.1) -> DataFrame:
@@ -139,13 +149,12 @@ def read_depths(calls: DataFrame, seed: int) -> DataFrame:
         rows.append((k, round(run, 12), round(run + p, 12)))
         run, p = run + p, p * DEPTH / (k + 1)
     rows[-1] = (rows[-1][0], rows[-1][1], 2.0)
-    table = F.broadcast(calls.sparkSession.createDataFrame(rows, "dp_new long, low double, high double"))
-    u = calls.withColumn("u", draws.uniform(seed, "dp", F.col("sample"), F.col("ord")))
-    out = u.join(table, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    table = calls.sparkSession.createDataFrame(rows, "dp_new long, low double, high double")
+    out = by_chance(calls, table, len(rows), draws.uniform(seed, "dp", F.col("sample"), F.col("ord")))
     spread = draws.uniform(seed, "ad", F.col("sample"), F.col("ord")) + draws.uniform(seed, "ad2", F.col("sample"), F.col("ord")) - 1
     het = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), HET_REF_SHARE + 0.2 * spread)) * F.col("dp_new"))
     ref = F.when(F.col("gt").isin("0|1", "1|0"), het).when(F.col("gt") == "1|1", 0).otherwise(F.col("dp_new")).cast("long")
-    return out.withColumn("ref_new", ref).withColumn("alt_new", F.col("dp_new") - F.col("ref_new")).drop("u", "low", "high")
+    return out.withColumn("ref_new", ref).withColumn("alt_new", F.col("dp_new") - F.col("ref_new"))
 
 
 def structural_variants(people: DataFrame, each: int, span: int, seed: int) -> DataFrame:

@@ -18,7 +18,7 @@ def person_records(calls: DataFrame) -> DataFrame:
 
 def haploid_records(calls: DataFrame, people: DataFrame, build: str = "GRCh38") -> DataFrame:
     """One allele where the ploidy is 1, no row where it is 0; AC, AN and AF of the record."""
-    p = calls.join(F.broadcast(people.select("sample", "sex")), "sample").withColumn("ploidy", V.ploidy(build, F.col("chrom"), F.col("pos"), F.col("sex"))).filter("ploidy > 0")
+    p = calls.join(people.select("sample", "sex"), "sample").withColumn("ploidy", V.ploidy(build, F.col("chrom"), F.col("pos"), F.col("sex"))).filter("ploidy > 0")
     p = p.withColumn("gt", F.when(F.col("ploidy") == 1, G.alleles(F.col("gt"))[0]).otherwise(F.col("gt")))
     ac = F.size(F.filter(G.alleles(F.col("gt")), lambda a: ~a.isin(".", "0")))
     return p.withColumns({"ac": ac.cast("long"), "an": F.col("ploidy").cast("long"), "af": F.round(ac / F.col("ploidy"), 1)})
@@ -26,7 +26,7 @@ def haploid_records(calls: DataFrame, people: DataFrame, build: str = "GRCh38")
 
 def par_mirror(calls: DataFrame, people: DataFrame, build: str = "GRCh38") -> DataFrame:
     """Males' chrX PAR records also at their chrY positions, in place of any there; structural variants aren't mirrored."""
-    own = calls.join(F.broadcast(people.select("sample", "sex")), "sample")
+    own = calls.join(people.select("sample", "sex"), "sample")
     par = V.in_par(build, F.col("chrom"), F.col("pos"))
     kept = own.filter(~((F.col("sex") == "m") & (F.col("chrom") == "Y") & par))
     new = own.filter((F.col("sex") == "m") & (F.col("chrom") == "X") & par & ~V.is_symbolic(F.col("alt")))

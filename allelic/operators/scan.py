@@ -21,7 +21,11 @@ def matches(calls: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def variant_scan(calls: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row for each file and target: a status of seven, frequency, and carriers."""
+    """One row for each file and target: a status of seven, frequency, and carriers.
+
+    The frequency is INFO/AF of the first record (by ``ord``) with the target's alleles, where the calls have ``info``
+    and ``ord`` and AF is a number; else allele counts over all its calls.
+    """
     files = calls.select("file", V.bare_chrom(F.col("chrom")).alias("bare")).distinct()
     names = files.select("file").distinct()
     spine = names.crossJoin(F.broadcast(targets)).withColumn("bare", V.bare_chrom(F.col("t_chrom")))
@@ -29,11 +33,12 @@ def variant_scan(calls: DataFrame, targets: DataFrame) -> DataFrame:
     d = F.when(F.col("same"), G.first_alt_dosage(F.col("gt")))
     a = G.alleles(F.col("gt"))
     s = lambda test: F.sum(F.when(test, 1).otherwise(0)).cast("long")
+    told = F.min_by(A.info_value(F.col("info"), "AF").try_cast("double"), F.when(F.col("same"), F.col("ord"))) if {"info", "ord"} <= set(calls.columns) else F.lit(None).cast("double")
     found = matches(calls, targets).groupBy("file", "name").agg(
         F.count("*").alias("n_there"), s(F.col("same")).alias("n_same"), F.sum(F.when(F.col("same"), F.size(F.filter(a, lambda x: ~x.isin(".", "0"))))).alias("ac"),
-        F.sum(F.when(F.col("same"), F.size(F.filter(a, lambda x: x != ".")))).alias("an"), s(d == 1).alias("n_het"), s(d == 2).alias("n_hom"), s(d >= 1).alias("n_carriers"),
+        F.sum(F.when(F.col("same"), F.size(F.filter(a, lambda x: x != ".")))).alias("an"), s(d == 1).alias("n_het"), s(d == 2).alias("n_hom"), s(d >= 1).alias("n_carriers"), told.alias("told"),
     )
-    out = spine.join(found, ["file", "name"], "left").withColumn("af", F.round(F.try_divide(F.col("ac").cast("double"), F.col("an")), 6))
+    out = spine.join(found, ["file", "name"], "left").withColumn("af", F.round(F.coalesce("told", F.try_divide(F.col("ac").cast("double"), F.col("an"))), 6))
     status = (
         F.when(F.col("has_chrom").isNull(), "not_applicable").when(F.col("n_there").isNull(), "position_empty").when(F.col("n_same") == 0, "absent").when(F.col("af").isNull(), "present_af_unknown")
         .when(F.col("af") < F.col("min_af"), "present_below_threshold").when(F.col("af") > F.col("max_af"), "present_above_threshold").otherwise("present_in_range")
@@ -100,12 +105,11 @@ def contig_stats(calls: DataFrame) -> DataFrame:
 
 
 def metadata(calls: DataFrame) -> DataFrame:
-    """Contigs, records, samples and a hash of the sorted sample names of each file."""
+    """Contigs, records, samples, a hash of the sorted sample names, and the tags in ``file_name`` of each file."""
     names = calls.select("file", "sample").distinct().groupBy("file").agg(F.count("*").alias("n_samples"), F.md5(F.array_join(F.array_sort(F.collect_list("sample")), "\n")).alias("sample_hash"))
-    counted = calls.groupBy("file").agg(F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("chrom")), ",").alias("contigs"))
+    counted = calls.groupBy("file").agg(F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("chrom")), ",").alias("contigs"), F.min("file_name").alias("file_name"))
     tags = lambda c: F.regexp_extract("file_name", c, 0)
-    out = counted.join(names, "file").withColumn("file_name", F.concat(F.lit("cohort_phase3_v5_20130502."), F.lower("file"), F.lit(".vcf.gz")))
-    return out.withColumns({"pipeline_tag": tags(r"phase\d+_[a-z0-9_]+"), "date_stamp": tags(r"\d{8}")})
+    return counted.join(names, "file").withColumns({"pipeline_tag": tags(r"phase\d+_[a-z0-9_]+"), "date_stamp": tags(r"\d{8}")})
 
 
 def metadata_report(meta: DataFrame) -> DataFrame:

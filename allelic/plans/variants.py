@@ -103,7 +103,7 @@ PLOIDY = f"CASE WHEN chrom = 'MT' THEN 1 WHEN chrom = 'X' THEN CASE WHEN sex = '
 
 @plan(f"WITH {CALLS}, {PEOPLE} SELECT sex, chrom, CAST({PLOIDY} AS INTEGER) AS ploidy, count(*) AS n FROM calls JOIN people USING (sample) GROUP BY ALL")
 def ploidy_matrix(spark, sf_dir):
-    c = D.calls(spark, sf_dir).join(F.broadcast(D.people(spark, sf_dir)), "sample")
+    c = D.calls(spark, sf_dir).join(D.people(spark, sf_dir), "sample")
     return c.groupBy("sex", "chrom", V.ploidy("GRCh38", F.col("chrom"), F.col("pos"), F.col("sex")).alias("ploidy")).agg(F.count("*").alias("n"))
 
 
@@ -179,9 +179,9 @@ ROWS = [("in_range", "chr6", 39596, "C", "T", 0.0, 1.0), ("other_alt", "6", 3959
         ("below", "6", 39596, "C", "T", 0.9, 1.0), ("above", "6", 39596, "C", "T", 0.0, 0.01), ("second", "7", 47515, "G", "A", 0.05, 0.9)]
 TARGETS = "targets(name, t_chrom, t_pos, t_ref, t_alt, min_af, max_af) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}, '{d}', '{e}', {f}::DOUBLE, {g}::DOUBLE)" for a, b, c, d, e, f, g in ROWS) + ")"
 SCAN = f"""{TARGETS}, b AS (SELECT *, regexp_replace(t_chrom, '^chr', '') AS bare FROM targets), m AS (SELECT c.*, b.name, c.ref = b.t_ref AND c.alt = b.t_alt AS same FROM calls c JOIN b ON c.chrom = b.bare AND c.pos = b.t_pos),
-    f AS (SELECT file, name, count(*) AS n_there, count(*) FILTER (same) AS n_same, sum(CASE WHEN same THEN dd END) AS ac, sum(CASE WHEN same AND d IS NOT NULL THEN 2 WHEN same THEN 0 END) AS an,
+    f AS (SELECT file, name, count(*) AS n_there, count(*) FILTER (same) AS n_same, arg_min(af, ord) FILTER (same) AS told, sum(CASE WHEN same THEN dd END) AS ac, sum(CASE WHEN same AND d IS NOT NULL THEN 2 WHEN same THEN 0 END) AS an,
         count(*) FILTER (same AND dd = 1) AS n_het, count(*) FILTER (same AND dd = 2) AS n_hom, count(*) FILTER (same AND dd >= 1) AS n_carriers FROM m GROUP BY 1, 2),
-    x AS (SELECT n.file, b.name, h.chrom, f.* EXCLUDE (file, name), b.min_af, b.max_af, round(CAST(ac AS DOUBLE) / nullif(an, 0), 6) AS af FROM (SELECT DISTINCT file FROM calls) n CROSS JOIN b
+    x AS (SELECT n.file, b.name, h.chrom, f.* EXCLUDE (file, name), b.min_af, b.max_af, round(coalesce(told, CAST(ac AS DOUBLE) / nullif(an, 0)), 6) AS af FROM (SELECT DISTINCT file FROM calls) n CROSS JOIN b
         LEFT JOIN (SELECT DISTINCT file, chrom FROM calls) h ON h.file = n.file AND h.chrom = b.bare LEFT JOIN f ON f.file = n.file AND f.name = b.name),
     sc AS (SELECT file, name, CASE WHEN chrom IS NULL THEN 'not_applicable' WHEN n_there IS NULL THEN 'position_empty' WHEN n_same = 0 THEN 'absent' WHEN af IS NULL THEN 'present_af_unknown' WHEN af < min_af THEN 'present_below_threshold'
         WHEN af > max_af THEN 'present_above_threshold' ELSE 'present_in_range' END AS status, af, coalesce(n_same, 0) AS n_same, coalesce(n_carriers, 0) AS n_carriers, coalesce(n_het, 0) AS n_het, coalesce(n_hom, 0) AS n_hom FROM x),
@@ -220,7 +220,7 @@ def carrier_per_file(spark, sf_dir):
 
 @plan(f"WITH {CALLS}, {SCAN}, {PEOPLE} SELECT super_pop, count(*) AS n FROM ca LEFT JOIN people USING (sample) GROUP BY 1")
 def carriers_by_super_pop(spark, sf_dir):
-    return carriers(spark, sf_dir).join(F.broadcast(D.people(spark, sf_dir)), "sample", "left").groupBy("super_pop").agg(F.count("*").alias("n"))
+    return carriers(spark, sf_dir).join(D.people(spark, sf_dir), "sample", "left").groupBy("super_pop").agg(F.count("*").alias("n"))
 
 
 ACAN = "sum(dd)::BIGINT AS ac, (2 * count(d))::BIGINT AS an, round(CAST(sum(dd) AS DOUBLE) / nullif(2 * count(d), 0), 6) AS af"
@@ -228,7 +228,7 @@ ACAN = "sum(dd)::BIGINT AS ac, (2 * count(d))::BIGINT AS an, round(CAST(sum(dd)
 
 @plan(f"WITH {CALLS}, {PEOPLE} SELECT chrom, pos, super_pop, {ACAN} FROM calls JOIN people USING (sample) GROUP BY 1, 2, 3")
 def pop_af(spark, sf_dir):
-    c = D.calls(spark, sf_dir).join(F.broadcast(D.people(spark, sf_dir).select("sample", "super_pop")), "sample")
+    c = D.calls(spark, sf_dir).join(D.people(spark, sf_dir).select("sample", "super_pop"), "sample")
     return A.allele_counts(c, "chrom", "pos", "super_pop")
 
 
@@ -308,13 +308,14 @@ META = """me AS (SELECT file, count(*) AS n_variants, array_to_string(list_sort(
 
 @plan(f"WITH {CALLS}, {META} SELECT * FROM me")
 def inspect_metadata(spark, sf_dir):
-    return S.metadata(D.calls(spark, sf_dir))
+    named = F.concat(F.lit("cohort_phase3_v5_20130502."), F.lower("file"), F.lit(".vcf.gz"))
+    return S.metadata(D.calls(spark, sf_dir).withColumn("file_name", named))
 
 
 @plan(f"""WITH {CALLS}, {META}, c AS (SELECT DISTINCT unnest(string_split(contigs, ',')) AS c FROM me) SELECT count(*) AS files, sum(n_variants)::BIGINT AS n_variants, false AS partial,
     (SELECT string_agg(c, ',' ORDER BY length(c), c) FROM c) AS contigs, count(DISTINCT sample_hash) AS sample_sets FROM me""")
 def metadata_report(spark, sf_dir):
-    return S.metadata_report(S.metadata(D.calls(spark, sf_dir)))
+    return S.metadata_report(inspect_metadata(spark, sf_dir))
 
 
 @plan(f"WITH {CALLS} SELECT ord, {ORD.format(c='chrom')} AS o, chrom || ' ' || CAST(pos AS VARCHAR) || ' ' || id || ' ' || ref || ' ' || alt || ' ' || gt AS line FROM calls")

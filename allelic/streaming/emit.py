@@ -13,7 +13,8 @@ def ordered_emit(spark: SparkSession, source: str, schema: T.StructType, out: st
     A site is held in the folder beside ``out`` until the positions seen on its
     chromosome have passed it by ``slack``, the farthest that a site comes late; the rest
     follows when the input ends. Each micro-batch writes its own folder, which a repeat
-    overwrites, so a restart from ``checkpoint`` gives every site once. Returns counts for each batch.
+    overwrites, so a restart from ``checkpoint`` gives every site once, even where all batches are done and only
+    the rest is not written. Returns counts for each batch of this run.
     """
     told: list[dict] = []
     held = f"{out}-held"
@@ -31,8 +32,10 @@ def ordered_emit(spark: SparkSession, source: str, schema: T.StructType, out: st
 
     query = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if told:
-        last = max(t["batch"] for t in told)
+    path = spark._jvm.org.apache.hadoop.fs.Path(held)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        last = max(int(f.getPath().getName()) for f in fs.listStatus(path))
         rest = spark.read.schema(schema).parquet(f"{held}/{last}")
         rest.repartition("chrom").sortWithinPartitions("chrom", "pos").write.mode("overwrite").parquet(f"{out}/batch={last + 1:06d}")
     return told

@@ -2,6 +2,7 @@
 
 import json
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,20 @@ def test_scan_status(spark, gts, alt, low, high, want):
     assert got == {"f": want, "g": "not_applicable", "h": "position_empty"}
 
 
+def test_scan_takes_told_frequency(spark):
+    rows = [("f", 1, "0|1", "AC=9;AF=0.7"), ("f", 2, "0|0", "AF=0.1"), ("g", 1, "0|1", "AF=."), ("g", 2, "0|0", "AF=0.1"), ("h", 1, "1|1", None)]
+    calls = spark.createDataFrame(rows, "file string, ord long, gt string, info string").selectExpr("*", "'15' AS chrom", "7L AS pos", "'A' AS ref", "'G' AS alt", "'s' AS sample", "'.' AS id")
+    target = spark.createDataFrame([("t", "15", 7, "A", "G", 0.3, 0.9)], "name string, t_chrom string, t_pos long, t_ref string, t_alt string, min_af double, max_af double")
+    got = {r["file"]: (r["af"], r["status"]) for r in scan.variant_scan(calls, target).collect()}
+    assert got == {"f": (0.7, "present_in_range"), "g": (0.25, "present_below_threshold"), "h": (1.0, "present_above_threshold")}
+
+
+def test_file_tags(spark):
+    calls = spark.createDataFrame([("f", "s", "1", "x_phase3_v5.20130502.vcf.gz"), ("g", "s", "1", "plain.vcf")], "file string, sample string, chrom string, file_name string")
+    got = {r["file"]: (r["pipeline_tag"], r["date_stamp"]) for r in scan.metadata(calls).collect()}
+    assert got == {"f": ("phase3_v5", "20130502"), "g": ("", "")}
+
+
 def test_chromosome_spec():
     assert scan.parse_chromosomes("1-3,5,X,2") == ["1", "2", "3", "5", "X"]
     with pytest.raises(ValueError):
@@ -265,3 +280,16 @@ def test_stream(spark, tmp_path):
     rows.repartition(4).write.parquet(f"{tmp_path}/in")
     told = emit.ordered_emit(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/c", slack=400)
     assert len(told) == 4 and sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("chrom", "pos").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_stream_killed_before_the_rest(spark, tmp_path):
+    rows = spark.createDataFrame([(c, p) for c in "12" for p in range(0, 400, 3)], "chrom string, pos long")
+    rows.repartition(4).write.parquet(f"{tmp_path}/in")
+
+    def run():
+        return emit.ordered_emit(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/c", slack=400)
+
+    last = max(t["batch"] for t in run())
+    shutil.rmtree(f"{tmp_path}/out/batch={last + 1:06d}")
+    assert run() == []
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("chrom", "pos").collect())) == sorted(map(tuple, rows.collect()))
