@@ -3,14 +3,16 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from allelic.llm import ann, mixing, preferences, quality, toxicity
-from allelic.llm.queries import tokenizer
+from allelic.llm.queries import QUERIES, tokenizer
 
 from .helpers import TEXTS, brute_components, documents
 
@@ -127,6 +129,58 @@ def test_classifiers_with_few_labels(spark, labels):
     assert toxicity.score(empty, toxicity.fit(empty, known)).count() == 0
 
 
+def test_quality_is_the_optimum_of_plain_pairs(spark):
+    docs, labels = corpus(spark)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    pairs = sorted(([*quality.measure(t), known[i]] for i, t in rows if i in known), key=lambda x: (x[-1], *reversed(x[:-1])))
+    x, y = np.array([p[:-1] for p in pairs]), np.array([p[-1] for p in pairs])
+    order = np.lexsort(np.c_[x, y].T)
+    x, y = x[order], y[order]
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    scaled = np.clip((x - mean) / spread, -8, 8)
+    drawn = np.random.default_rng(11).integers(0, int(y.sum()), (quality.PAIRS, int((y == 0).sum())))
+    d = scaled[y == 1][drawn].reshape(-1, x.shape[1]) - np.tile(scaled[y == 0], (quality.PAIRS, 1))
+    w, step = np.zeros(x.shape[1]), 1 / (np.linalg.eigvalsh(d.T @ d)[-1] / 4 + 1)
+    while np.abs(gradient := d.T @ (1 / (1 + np.exp(d @ w))) - w).max() > 1e-7:  # plain ascent, so many steps
+        w = w + step * gradient
+    z = lambda f: float(np.clip((f - mean) / spread, -8, 8) @ w)
+    scores, share = [z(f) for f in x], float((y == 0).mean())
+    cut = np.quantile(scores, [share * 0.98, share + (1 - share) * 0.005]).mean()
+    want = {i: 1 / (1 + math.exp(-max(-30.0, min(30.0, z(np.array(quality.measure(t))) - cut + math.log(0.7 / 0.3))))) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_linear_fit_is_the_optimum():
+    rng = np.random.default_rng(12)
+    n, features = 800, 30
+    x = (rng.random((n, features)) < np.linspace(0.02, 0.4, features)).astype(float)
+    target = 1 / (1 + np.exp(-(x @ rng.normal(size=features) * 2 - 1)))
+    rows, columns = np.nonzero(x)
+    w, bias = toxicity.fit_linear(rows, columns, n, features, target)
+    full, both, penalty = np.c_[x, np.ones(n)], np.zeros(features + 1), np.r_[np.full(features, 2.0), 0.0]
+    for _ in range(50):  # Newton's method on the dense table
+        p = 1 / (1 + np.exp(-full @ both))
+        both = both - np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (p - target) + penalty * both)
+    assert np.abs(np.r_[w, bias] - both).max() < 1e-3
+
+
+@pytest.mark.parametrize("kind, label, of, query", [(quality, "quality", "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2", "op8_quality"), (toxicity, "toxic", "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0", "op4_toxicity")])
+def test_scores_know_no_held_out_label_and_no_partitioning(spark, tmp_path, kind, label, of, query):
+    docs, labels = corpus(spark, 300)
+    turned = labels.withColumn(label, F.expr(f"case when {of} then 1 - {label} else {label} end"))
+    assert turned.exceptAll(labels).count() > 20
+    found = []
+    for name, d, known in (("as", docs.coalesce(1), labels), ("turned", docs.repartition(5), turned.repartition(3))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = QUERIES[query](spark, f"{tmp_path}/{name}").collect()
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % (4 if label == "quality" else 5) == (2 if label == "quality" else 0)) for r in rows)
+        found.append({r["doc_id"]: r["score"] for r in rows})
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][i] - s) < 1e-9 for i, s in found[1].items())
+
+
 def test_label_model_weighs_correlated_voters():
     rng = np.random.default_rng(7)
     y = rng.random(4000) < 0.3
