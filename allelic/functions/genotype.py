@@ -57,9 +57,9 @@ def is_hom_ref(gt: Column) -> Column:
 
 def quality_alleles(gt: Column) -> Column:
     """Two allele numbers: a haploid k counts as (k, k), anything malformed as (0, 0)."""
-    a = F.transform(alleles(gt), lambda x: x.try_cast("int"))
-    sound = F.forall(a, lambda x: x.isNotNull())
-    return F.when(sound & (F.size(a) == 1), F.array(a[0], a[0])).when(sound & (F.size(a) == 2), a).otherwise(F.array(F.lit(0), F.lit(0)))
+    a = alleles(gt)
+    one, two = a[0].try_cast("int"), F.get(a, F.lit(1)).try_cast("int")
+    return F.when((F.size(a) == 1) & one.isNotNull(), F.array(one, one)).when((F.size(a) == 2) & one.isNotNull() & two.isNotNull(), F.array(one, two)).otherwise(F.array(F.lit(0), F.lit(0)))
 
 
 def genotype_quality(gt: Column, dp: Column, ad_ref: Column, ad_alt: Column) -> Column:

@@ -65,6 +65,8 @@ SEGMENTS = """segments AS (SELECT person, CASE WHEN rn % 40 < 20 THEN '1' ELSE '
     CASE length(event_type) % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'SAS' ELSE 'AFR' END AS hap1_pop, CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'SAS' ELSE 'AFR' END AS hap2_pop
     FROM (SELECT *, user_id % 50 AS person, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS rn FROM events))"""
 ORD = "CASE WHEN {c} = 'X' THEN 23 WHEN {c} = 'Y' THEN 24 WHEN {c} = 'MT' THEN 25 ELSE CAST({c} AS BIGINT) END"
+#: The reference base at a position, N now and then.
+BASE = "CASE WHEN ({p}) % 101 = 0 THEN 'N' ELSE substr('ACGT', ({p}) % 4 + 1, 1) END"
 #: GRCh38 pseudo-autosomal regions.
 PAR = "(({c} = 'X' AND ({p} BETWEEN 10001 AND 2781479 OR {p} BETWEEN 155701383 AND 156030895)) OR ({c} = 'Y' AND ({p} BETWEEN 10001 AND 2781479 OR {p} BETWEEN 56887903 AND 57217415)))"
 TARGETS = """targets(name, t_chrom, t_pos, t_ref, t_alt, min_af, max_af) AS (VALUES {rows})"""

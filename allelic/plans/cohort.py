@@ -10,7 +10,7 @@ from ..operators import segments as S
 from ..operators import summary as A
 from ..sources import adapters as D
 from ..sources import vcf
-from .base import CALLS, COUNTERS, ORD, PEOPLE, SEGMENTS, SITES, par, plan
+from .base import BASE, CALLS, COUNTERS, ORD, PEOPLE, SEGMENTS, SITES, par, plan
 
 RATIO = "round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 6)"
 TITV = RATIO.format(a="n_ti", b="n_tv")
@@ -298,9 +298,6 @@ def singleton_fraction(spark, sf_dir):
     return A.singleton_fraction(sfs_histogram(spark, sf_dir))
 
 
-BASE = "CASE WHEN ({p}) % 101 = 0 THEN 'N' ELSE substr('ACGT', ({p}) % 4 + 1, 1) END"
-
-
 @plan(f"""WITH {SITES}, f AS (SELECT *, {BASE.format(p='pos - 1')} AS l, {BASE.format(p='pos + 1')} AS r FROM sites WHERE length(alt) = 1),
     g AS (SELECT CASE WHEN l = 'N' OR r = 'N' THEN NULL WHEN ref IN ('A', 'G') THEN translate(r, 'ACGT', 'TGCA') || '[' || translate(ref, 'ACGT', 'TGCA') || '>' || translate(alt, 'ACGT', 'TGCA') || ']' || translate(l, 'ACGT', 'TGCA')
         ELSE l || '[' || ref || '>' || alt || ']' || r END AS channel FROM f),
@@ -322,7 +319,17 @@ def mutation_spectrum_96(spark, sf_dir):
 
 @plan(f"WITH {CALLS} SELECT file, count(*) AS n, count(*) FILTER (ref <> {BASE.format(p='pos')}) AS mismatched FROM calls GROUP BY file")
 def ref_check(spark, sf_dir):
-    return D.calls(spark, sf_dir).groupBy("file").agg(F.count("*").alias("n"), A.count_if(F.col("ref") != D.ref_base(F.col("pos"))).alias("mismatched"))
+    """Records by file whose REF isn't the reference's base, which comes from the sequence."""
+    met = vcf.with_base(D.calls(spark, sf_dir).select("file", "chrom", "pos", "ref"), D.fasta(spark), "pos", "base")
+    return met.groupBy("file").agg(F.count("*").alias("n"), A.count_if(F.col("ref") != F.col("base")).alias("mismatched"))
+
+
+@plan(f"WITH {SITES} SELECT site, {BASE.format(p='pos - 1')} AS l, {BASE.format(p='pos + 1')} AS r FROM sites WHERE length(alt) = 1 AND pos > 1")
+def flank_lookup(spark, sf_dir):
+    """The bases beside each SNV, from the sequence."""
+    s = D.sites(spark, sf_dir).filter("length(alt) = 1 AND pos > 1").select("site", "chrom", F.col("pos") - 1, F.col("pos") + 1).toDF("site", "chrom", "before", "after")
+    left = vcf.with_base(s, D.fasta(spark), "before", "l")
+    return vcf.with_base(left, D.fasta(spark), "after", "r").select("site", "l", "r")
 
 
 @plan(f"""WITH {CALLS}, {PEOPLE}, s AS (SELECT coalesce(sum(CASE WHEN sex = 'm' THEN ny END), 0) AS a, coalesce(sum(CASE WHEN sex = 'm' THEN nyh END), 0) AS b, count(DISTINCT CASE WHEN sex = 'f' THEN c.sample END) AS c,

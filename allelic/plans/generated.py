@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..operators import catalogue as C
 from ..operators import generate as G
 from ..sources import adapters as D
+from ..sources import vcf
 from ..streaming import emit
-from .base import CALLS, PEOPLE, SITES, md5, plan, uniform
+from .base import BASE, CALLS, CATALOGUE, PEOPLE, SITES, md5, par, plan, uniform
+from .variants import HAS, PLAIN, WANTED
 
 SEED = 11
 
@@ -42,7 +45,7 @@ def sample_ids(spark, sf_dir):
     return G.sample_ids(spark, 5000, SEED)
 
 
-@plan(f"WITH {PEOPLE} SELECT sample, CASE WHEN {uniform(SEED, 'sex', 'sample')} < 0.5 THEN 'm' ELSE 'f' END AS sex, CAST(floor({uniform(SEED, 'lineage', 'sample')} * 10) AS BIGINT) AS lineage FROM people")
+@plan(f"WITH {PEOPLE} SELECT sample, CASE WHEN {uniform(SEED, 'sex', 'sample')} < 0.5 THEN 'm' ELSE 'f' END AS sex, CAST(floor({uniform(SEED, 'lineage', 'sample')} * greatest(1, (SELECT count(*) FROM people) // 10)) AS BIGINT) AS lineage FROM people")
 def sex_lineage_draw(spark, sf_dir):
     return G.sex_and_lineage(D.people(spark, sf_dir).select("sample"), SEED)
 
@@ -74,7 +77,16 @@ def multi_alt_genotypes(spark, sf_dir):
     return G.multi_hwe_genotypes(cells, "afs", SEED).select("sample", "site", "gt")
 
 
-@plan()
+@plan(f"""WITH {CALLS}, l AS (SELECT sample, greatest(5.0::DOUBLE, 30 + 3 * sqrt(-2 * ln(1 - {uniform(SEED, 'depth', 'sample')})) * cos(2 * pi() * {uniform(SEED, 'depth2', 'sample')})) AS mean FROM (SELECT DISTINCT sample FROM calls)),
+    h AS (SELECT sample, k, CASE WHEN k = 150 THEN 2.0 ELSE sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY sample ORDER BY k) END AS high FROM l, range(0, 151) t(k)),
+    b AS (SELECT sample, k, coalesce(lag(high) OVER (PARTITION BY sample ORDER BY k), 0) AS low, high FROM h),
+    d AS (SELECT sample, ord, gt, {uniform(SEED, 'dp', 'sample', 'ord')} AS u FROM calls), e AS (SELECT d.sample, ord, gt, k AS dp FROM d JOIN b ON b.sample = d.sample AND u >= low AND u < high),
+    bn AS (SELECT n, p, k, CASE WHEN k = n THEN 2.0 ELSE sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))) OVER (PARTITION BY n, p ORDER BY k) END AS high
+        FROM range(0, 151) n(n), (VALUES (0.525::DOUBLE), (1 - 0.525::DOUBLE)) p(p), range(0, 151) k(k) WHERE k <= n),
+    bl AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY n, p ORDER BY k), 0) AS low FROM bn),
+    g AS (SELECT *, {uniform(SEED, 'reads', 'sample', 'ord')} AS v, CASE gt WHEN '0|1' THEN 0.525::DOUBLE WHEN '1|0' THEN 1 - 0.525::DOUBLE END AS share FROM e),
+    x AS (SELECT sample, ord, gt, dp, coalesce(bl.k, CASE gt WHEN '1|1' THEN 0 ELSE dp END) AS first FROM g LEFT JOIN bl ON bl.n = dp AND bl.p = share AND v >= low AND v < high)
+    SELECT sample, ord, dp, CASE WHEN gt = '1|0' THEN dp - first ELSE first END::BIGINT AS ad_ref, CASE WHEN gt = '1|0' THEN first ELSE dp - first END::BIGINT AS ad_alt FROM x""")
 def dp_ad_draw(spark, sf_dir):
     out = G.read_depths(D.calls(spark, sf_dir), SEED)
     return out.select("sample", "ord", F.col("dp_new").alias("dp"), F.col("ref_new").alias("ad_ref"), F.col("alt_new").alias("ad_alt"))
@@ -97,17 +109,46 @@ def slices_ntile(spark, sf_dir):
     return G.slices(D.people(spark, sf_dir).select("sample"), ["sample"], 7)
 
 
-@plan(f"""WITH {PEOPLE}, c AS (SELECT sample, hap, i, CASE WHEN i = 0 THEN 0 ELSE CAST(floor({uniform(SEED, 'cut', 'sample', 'hap', 'i')} * 5000000) AS BIGINT) END AS "start" FROM people, (VALUES (1), (2)) h(hap), (SELECT unnest(range(6)) AS i)),
+SPAN = 100_000_000
+
+
+@plan(f"""WITH {PEOPLE}, n AS (SELECT sample, hap, len(list_filter({G.poisson_highs(20 * 1e-8 * SPAN)}, lambda h: h <= {uniform(SEED, 'crossovers', 'sample', 'hap')})) AS n FROM people, (VALUES (1), (2)) h(hap)),
+    c AS (SELECT sample, hap, i, CASE WHEN i = 0 THEN 0 ELSE CAST(floor({uniform(SEED, 'cut', 'sample', 'hap', 'i')} * {SPAN}) AS BIGINT) END AS "start" FROM (SELECT sample, hap, unnest(range(n + 1)) AS i FROM n)),
     d AS (SELECT sample, hap, "start", min(i) AS i FROM c GROUP BY 1, 2, 3), p AS (SELECT *, {uniform(SEED, 'pop', 'sample', 'hap', 'i')} AS u FROM d)
-    SELECT sample, CAST(hap AS BIGINT) AS hap, "start", coalesce(lead("start") OVER (PARTITION BY sample, hap ORDER BY "start"), 5000000) AS "end", CASE WHEN u < 0.6::DOUBLE THEN 'EUR' WHEN u < 0.85::DOUBLE THEN 'SAS' ELSE 'AFR' END AS pop FROM p""")
+    SELECT sample, CAST(hap AS BIGINT) AS hap, "start", coalesce(lead("start") OVER (PARTITION BY sample, hap ORDER BY "start"), {SPAN}) AS "end", CASE WHEN u < 0.6::DOUBLE THEN 'EUR' WHEN u < 0.85::DOUBLE THEN 'SAS' ELSE 'AFR' END AS pop FROM p""")
 def ancestry_segments_generate(spark, sf_dir):
-    return G.ancestry(D.people(spark, sf_dir), 5_000_000, 6, SEED)
+    return G.ancestry(D.people(spark, sf_dir), SPAN, SEED)
+
+
+CANDIDATES = f"ca AS (SELECT ord, chrom, pos, ref, alt FROM cat WHERE {HAS} AND {PLAIN} AND alt NOT LIKE '%,%')"
+
 
+@plan(f"WITH {CATALOGUE}, {CANDIDATES} SELECT * FROM ca")
+def highlighted_candidates(spark, sf_dir):
+    return C.highlighted(D.catalogue(spark, sf_dir), WANTED).select("ord", "chrom", "pos", "ref", "alt")
 
-@plan(f"""WITH {PEOPLE}, {SITES}, h AS (SELECT sample, site, chrom, pos, row_number() OVER (PARTITION BY sample ORDER BY {md5(SEED, 'highlight', 'sample', 'site')}, site) AS rn FROM people, sites WHERE site % 13 = 0 AND chrom NOT IN ('Y', 'MT'))
-    SELECT sample, site, chrom, pos, CASE WHEN {uniform(SEED, 'hgt', 'sample')} < 0.7 THEN '0|1' ELSE '1|1' END AS gt FROM h WHERE rn = 1""")
+
+@plan(f"""WITH {CATALOGUE}, {CANDIDATES}, {PEOPLE}, k AS (SELECT *, row_number() OVER (PARTITION BY sex ORDER BY ord) AS n, count(*) OVER (PARTITION BY sex) AS most
+        FROM ca, (VALUES ('m'), ('f')) s(sex) WHERE chrom <> 'MT' AND NOT (chrom = 'Y' AND (sex = 'f' OR {par()}))),
+    t AS (SELECT DISTINCT sex, most FROM k), p AS (SELECT sample, sex, CAST(floor({uniform(SEED, 'highlight', 'sample')} * most) AS BIGINT) + 1 AS n, {uniform(SEED, 'hgt', 'sample')} AS u FROM people JOIN t USING (sex))
+    SELECT sample, ord, chrom, pos, ref, alt, CASE WHEN u < 0.7 THEN '0|1' ELSE '1|1' END AS gt FROM p JOIN k USING (sex, n)""")
 def highlighted_variant(spark, sf_dir):
-    return G.highlighted_variant(D.people(spark, sf_dir), D.sites(spark, sf_dir).filter("site % 13 = 0 AND chrom NOT IN ('Y', 'MT')"), SEED)
+    return G.highlighted_variant(D.people(spark, sf_dir), highlighted_candidates(spark, sf_dir), SEED)
+
+
+@plan(f"""WITH {CALLS}, c AS (SELECT chrom, max(pos) AS length, count(*) AS seed FROM calls GROUP BY chrom), k AS (SELECT *, unnest(range((length - 1) // 600000 + 1)) AS chunk FROM c),
+    m AS (SELECT *, (seed + chunk * 2654435769) & 2147483647 AS s, least((chunk + 1) * 600000, length) AS e FROM k)
+    SELECT chrom, chunk, chunk * 600000 AS "start", e AS "end", CASE WHEN e >= length THEN e ELSE e + 500000 END AS worked_end, CASE WHEN s = 0 THEN 1 ELSE s END AS chunk_seed FROM m""")
+def chunk_plan(spark, sf_dir):
+    contigs = D.calls(spark, sf_dir).groupBy("chrom").agg(F.max("pos").alias("length"), F.count("*").alias("seed"))
+    return G.chunks(contigs, 600_000)
+
+
+@plan(f"""WITH {SITES}, b AS (SELECT site, {BASE.format(p='pos')} AS base, CAST(floor({uniform(SEED, 'ref', 'site')} * 4) AS INTEGER) + 1 AS i FROM sites)
+    SELECT site, base, CASE WHEN base = 'N' THEN substr('ACGT', i, 1) ELSE base END AS new_ref FROM b""")
+def ref_pick(spark, sf_dir):
+    own = vcf.with_base(D.sites(spark, sf_dir).select("site", "chrom", "pos"), D.fasta(spark), "pos", "base")
+    return G.picked_ref(own, "base", SEED).select("site", "base", "new_ref")
 
 
 @plan()

@@ -77,6 +77,16 @@ def ref_base(pos):
     return F.when(pos % 101 == 0, "N").otherwise(F.substring(F.lit("ACGT"), (pos % 4 + 1).cast("int"), F.lit(1)))
 
 
+def fasta(spark: SparkSession, block: int = 4096, length: int = 5_000_100) -> DataFrame:
+    """The sequence of ``ref_base`` as blocks of each chromosome, as ``read_fasta`` gives them. It repeats every 404 bases."""
+    unit = "".join("N" if p % 101 == 0 else "ACGT"[p % 4] for p in range(404))
+    chroms = F.explode(F.array(*[F.lit(str(c)) for c in (*range(1, 23), "X", "Y", "MT")])).alias("chrom")
+    blocks = spark.range(-(-length // block)).withColumnRenamed("id", "block").select("block", chroms)
+    # the first base of a block is at position block number * block + 1
+    seq = F.substring(F.lit(unit * (block // 404 + 2)), ((F.col("block") * block + 1) % 404 + 1).cast("int"), F.lit(block))
+    return blocks.select("chrom", "block", seq.alias("seq"))
+
+
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calls as VCF text lines, some with two ALT alleles, some cut short; with the key of the call."""
     two = "site % 53 = 0"
