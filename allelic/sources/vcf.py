@@ -13,6 +13,18 @@ HEADER = """##fileformat=VCFv4.2
 ##INFO=<ID=AC,Number=A,Type=Integer,Description="Allele count">
 ##INFO=<ID=AN,Number=1,Type=Integer,Description="Allele number">
 ##INFO=<ID=AF,Number=A,Type=Float,Description="Allele frequency">
+##INFO=<ID=CLNSIG,Number=.,Type=String,Description="Significance told by the catalogue">
+##INFO=<ID=CLNDN,Number=.,Type=String,Description="Condition told by the catalogue">
+##INFO=<ID=COSMIC_ID,Number=1,Type=String,Description="Id of a somatic variant">
+##INFO=<ID=COSMIC_GENE,Number=1,Type=String,Description="Gene of a somatic variant">
+##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Kind of structural variant">
+##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Length of a structural variant">
+##INFO=<ID=END,Number=1,Type=Integer,Description="Last position">
+##INFO=<ID=CIPOS,Number=2,Type=Integer,Description="Interval around the position">
+##INFO=<ID=HIGHLIGHT,Number=0,Type=Flag,Description="The person's highlighted variant">
+##ALT=<ID=DEL,Description="Deletion">
+##ALT=<ID=DUP,Description="Duplication">
+##ALT=<ID=INV,Description="Inversion">
 ##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
 ##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">
 ##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype quality">
@@ -98,6 +110,46 @@ def write_vcf(calls: DataFrame, path: str) -> None:
     whole.select("sample", "value").write.partitionBy("sample").option("compression", "gzip").text(path)
 
 
+def cohort_lines(calls: DataFrame, samples: list[str]) -> DataFrame:
+    """Multi-sample lines (chrom, pos, value), one for each site, with genotypes in the order of ``samples``.
+
+    Sites are (chrom, pos, id, ref, alt) and, if the calls have it, ``extra``: INFO text to follow AC, AN and AF, which are
+    of the whole cohort (AN is twice its size). A sample without a call has ``./.``, of several calls the
+    greatest counts; calls of other samples are left out. Both aggregations share one shuffle by site.
+    """
+    site = ["chrom", "pos", "id", "ref", "alt", *(["extra"] if "extra" in calls.columns else [])]
+    order = calls.sparkSession.createDataFrame(list(enumerate(samples)), "i long, sample string")
+    own = calls.select(*site, "sample", "gt").join(order, "sample").repartition(*site)
+    cells = own.groupBy(*site, "i").agg(F.max("gt").alias("gt")).groupBy(*site).agg(F.array_sort(F.collect_list(F.struct("i", "gt"))).alias("c"))
+    # what lies between two calls is filled by repetition, so a line costs its length
+    gap = lambda n: F.repeat(F.lit("\t./."), n.cast("int"))
+    each = F.transform("c", lambda x, k: F.concat(gap(x["i"] - F.when(k == 0, -1).otherwise(F.get("c", k - 1)["i"]) - 1), F.lit("\t"), x["gt"]))
+    genotypes = F.concat(F.array_join(each, ""), gap(F.lit(len(samples) - 1) - F.element_at("c", -1)["i"]))
+    said = F.flatten(F.transform("c", lambda x: F.split(x["gt"], "[|/]")))
+    acs = F.transform(F.sequence(F.lit(1), F.size(F.split("alt", ","))), lambda k: F.size(F.filter("said", lambda a: a == k.cast("string"))))
+    out = cells.select(*site, genotypes.alias("genotypes"), F.explode(F.array(said)).alias("said")).withColumn("acs", F.explode(F.array(acs)))
+    an = 2 * len(samples)
+    info = F.concat(F.lit("AC="), F.array_join(F.col("acs").cast("array<string>"), ","), F.lit(f";AN={an};AF="), F.array_join(F.transform("acs", lambda c: F.format_string("%.6f", c / an)), ","))
+    if "extra" in site:
+        info = F.concat(info, F.when(F.coalesce("extra", F.lit("")).isin("", "."), "").otherwise(F.concat(F.lit(";"), F.col("extra"))))
+    fields = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("100"), F.lit("PASS"), info, F.lit("GT"))
+    return out.select("chrom", "pos", F.concat(fields, F.col("genotypes")).alias("value"))
+
+
+def write_cohort_vcf(calls: DataFrame, samples: list[str], path: str, run: int = 50_000_000) -> None:
+    """The cohort as gzipped VCF files, a folder for each chromosome and ``run`` of bases, each file sorted and whole with its header.
+
+    No task holds more than a run of one chromosome. ``read_multi_sample`` reads them.
+    """
+    lines = cohort_lines(calls, samples).withColumn("run", F.floor((F.col("pos") - 1) / run))
+    head = "\n".join(x for x in HEADER.split("\n") if not x.startswith("##FORMAT") or "ID=GT" in x) + "\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(samples)
+    runs = calls.select("chrom", F.floor((F.col("pos") - 1) / run).alias("run")).distinct()
+    contig = F.replace(F.lit(head), F.lit("\n#CHROM"), F.concat(F.lit("\n##contig=<ID="), F.col("chrom"), F.lit(">\n#CHROM")))
+    whole = lines.unionByName(runs.select("chrom", F.lit(0).cast("long").alias("pos"), contig.alias("value"), "run"))
+    sorted_runs = whole.repartition("chrom", "run").sortWithinPartitions("chrom", "run", "pos", "value")
+    sorted_runs.select(F.col("chrom").alias("contig"), "run", "value").write.partitionBy("contig", "run").option("compression", "gzip").text(path)
+
+
 def bed_lines(records: DataFrame, *fields: str) -> DataFrame:
     """BED4 rows of variant records: chrom, start, end, payload."""
     return records.select("chrom", (F.col("pos") - 1).alias("start"), bed_end(F.col("pos"), F.col("ref"), F.col("sv_end")).cast("long").alias("end"), payload(**{f: F.col(f) for f in fields}).alias("payload"))
