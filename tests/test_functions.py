@@ -260,7 +260,7 @@ def test_multi_sample_and_bed_and_fasta(spark, tmp_path):
     rows = spark.createDataFrame([("1", p) for p in (1, 4, 5, 9, 10)] + [("2", 2), ("3", 1)], "chrom string, pos long")
     assert {(r["chrom"], r["pos"]): r["b"] for r in vcf.with_base(rows, fasta, "pos", "b", block=4).collect()} == {("1", 1): "A", ("1", 4): "T", ("1", 5): "N", ("1", 9): "T", ("1", 10): "N", ("2", 2): "G", ("3", 1): "N"}
     bed = spark.createDataFrame([("1", 10, "AT", None, "a;b"), ("X", 3, "A", 50, None)], "chrom string, pos long, ref string, sv_end long, k string")
-    assert sorted(tuple(r) for r in vcf.bed_lines(bed, "k").collect()) == [("1", 9, 11, "k=a b"), ("X", 2, 50, ".")]
+    assert sorted(tuple(r) for r in vcf.bed_lines(bed, "k").collect()) == [("1", 9, 11, "k=a,b"), ("X", 2, 50, ".")]
 
 
 def test_reports(spark):
