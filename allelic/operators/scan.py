@@ -105,9 +105,9 @@ def contig_stats(calls: DataFrame) -> DataFrame:
 
 
 def metadata(calls: DataFrame) -> DataFrame:
-    """Contigs, records, samples, a hash of the sorted sample names, and the tags in ``file_name`` of each file."""
+    """Contigs, records, samples, a hash of the sorted sample names, and the tags in the name of each file: ``file_name``, or ``file`` where calls have no such column."""
     names = calls.select("file", "sample").distinct().groupBy("file").agg(F.count("*").alias("n_samples"), F.md5(F.array_join(F.array_sort(F.collect_list("sample")), "\n")).alias("sample_hash"))
-    counted = calls.groupBy("file").agg(F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("chrom")), ",").alias("contigs"), F.min("file_name").alias("file_name"))
+    counted = calls.groupBy("file").agg(F.count("*").alias("n_variants"), F.array_join(F.array_sort(F.collect_set("chrom")), ",").alias("contigs"), F.min("file_name" if "file_name" in calls.columns else "file").alias("file_name"))
     tags = lambda c: F.regexp_extract("file_name", c, 0)
     return counted.join(names, "file").withColumns({"pipeline_tag": tags(r"phase\d+_[a-z0-9_]+"), "date_stamp": tags(r"\d{8}")})
 
