@@ -41,11 +41,14 @@ def bump(rows: DataFrame, keys: list[str], pos: str, ties: list[str], run: int =
     That is the largest of (position - rank) so far, plus the rank. Runs of ``run`` places are worked on apart; what
     the runs before reach comes from one row for each run.
     """
-    ranked = ordered_rank(rows, keys, F.floor(F.col(pos) / run), [pos, *ties], "_rn").withColumn("_part", F.floor(F.col(pos) / run))
+    parts = Window.partitionBy(*keys, "_part").orderBy(pos, *ties)
+    cut = rows.withColumn("_part", F.floor(F.col(pos) / run)).withColumn("_own", F.row_number().over(parts).cast("long"))
+    cut = cut.withColumn("_most", F.max(F.col(pos) - F.col("_own")).over(parts.rowsBetween(Window.unboundedPreceding, 0)))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    reached = ranked.groupBy(*keys, "_part").agg(F.max(F.col(pos) - F.col("_rn")).alias("_most")).select(*keys, "_part", F.max("_most").over(before).alias("_before"))
-    own = F.max(F.col(pos) - F.col("_rn")).over(Window.partitionBy(*keys, "_part").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("_own", own).join(reached, [*keys, "_part"]).withColumn("new_pos", F.greatest("_own", "_before") + F.col("_rn")).drop("_rn", "_part", "_own", "_before")
+    runs = cut.groupBy(*keys, "_part").agg(F.max("_own").alias("_n"), F.max("_most").alias("_m")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = runs.select(*keys, "_part", "_before", F.max(F.col("_m") - F.col("_before")).over(before).alias("_reached"))
+    new = F.greatest(F.col("_most"), F.col("_reached") + F.col("_before")) + F.col("_own")
+    return cut.join(runs, [*keys, "_part"]).withColumn("new_pos", new).drop("_part", "_own", "_most", "_before", "_reached")
 
 
 def suffix_min(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

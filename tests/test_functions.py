@@ -228,6 +228,8 @@ def test_bump_is_the_sequential_rule(spark):
         last = max(p, last + 1)
         want.append(last)
     assert got == want
+    for run in (1, 3, 8):
+        assert [r["new_pos"] for r in generate.bump(rows, ["chrom"], "pos", ["i"], run=run).orderBy("pos", "i").collect()] == want
 
 
 def test_linkage_decays(spark):
