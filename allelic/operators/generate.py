@@ -52,7 +52,8 @@ def bump(rows: DataFrame, keys: list[str], pos: str, ties: list[str], run: int =
 
 
 def suffix_min(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    """The least ``value`` from each row to the last of its key: a running one from the end, as a frame that looks ahead goes over the rest of the key for each row."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("min_ahead", F.min(value).over(w))
 
 

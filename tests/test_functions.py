@@ -295,3 +295,13 @@ def test_stream_killed_before_the_rest(spark, tmp_path):
     shutil.rmtree(f"{tmp_path}/out/batch={last + 1:06d}")
     assert run() == []
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("chrom", "pos").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_suffix_min_goes_over_each_key_once(spark):
+    given = [(k, o, (o * 7919 + k * 31) % 1009 if o % 11 else None) for k in (1, 2) for o in range(500)]
+    out = generate.suffix_min(spark.createDataFrame(given, "k long, o long, v long"), ["k"], ["o", "v"], "v")
+    left = {k: [v for j, o, v in given if j == k] for k in (1, 2)}
+    want = {(k, o): min((v for v in left[k][o:] if v is not None), default=None) for k, o, _ in given}
+    assert {(r["k"], r["o"]): r["min_ahead"] for r in out.collect()} == want
+    # a frame that ends at the key's last row is worked out anew for each row
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
