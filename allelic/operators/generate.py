@@ -99,10 +99,14 @@ def titv_alt(sites: DataFrame, seed: int, ratio: float = 2.1) -> DataFrame:
 
 
 def haplotype_slots(counts: DataFrame, haplotypes: int, seed: int) -> DataFrame:
-    """Exactly ``ac`` distinct haplotypes of each site: the first by hash order. (site, ac) to (site, hap)."""
-    wide = counts.withColumn("hap", F.explode(F.sequence(F.lit(0), F.lit(haplotypes - 1)))).withColumn("hap", F.col("hap").cast("long"))
-    order = Window.partitionBy("site").orderBy(draws.order_key(seed, "slot", F.col("site"), F.col("hap")), "hap")
-    return wide.withColumn("rn", F.row_number().over(order)).filter("rn <= ac").select("site", "hap")
+    """Exactly ``ac`` distinct haplotypes of each site: the first by hash order. (site, ac) to (site, hap).
+
+    The haplotypes of a site are put in order within its row, so only sites are moved: they are dealt out, since a small table of them is a lot of work.
+    """
+    dealt = counts.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site")
+    each = F.transform(F.sequence(F.lit(0), F.lit(haplotypes - 1)), lambda h: F.struct(draws.order_key(seed, "slot", F.col("site"), h).alias("key"), h.cast("long").alias("hap")))
+    first = F.slice(F.sort_array(each), F.lit(1), F.greatest(F.col("ac"), F.lit(0)).cast("int"))
+    return dealt.select("site", F.explode(first).alias("slot")).select("site", "slot.hap")
 
 
 def hwe_genotypes(cells: DataFrame, af: str, seed: int) -> DataFrame:

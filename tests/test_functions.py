@@ -1,5 +1,6 @@
 """Edge cases of single operators on hand-built rows."""
 
+import hashlib
 import json
 import math
 import shutil
@@ -305,3 +306,13 @@ def test_suffix_min_goes_over_each_key_once(spark):
     assert {(r["k"], r["o"]): r["min_ahead"] for r in out.collect()} == want
     # a frame that ends at the key's last row is worked out anew for each row
     assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_haplotype_slots_move_no_haplotypes(spark):
+    counts = spark.createDataFrame([(s, ac) for s, ac in ((1, 3), (2, 0), (3, 9), (4, 1), (5, None))], "site long, ac long")
+    out = generate.haplotype_slots(counts, 9, 3)
+    order = lambda s: sorted(range(9), key=lambda h: hashlib.md5(f"3:slot:{s}:{h}".encode()).hexdigest())
+    assert sorted(map(tuple, out.select("site", "hap").collect())) == sorted((s, h) for s, ac in ((1, 3), (3, 9), (4, 1)) for h in order(s)[:ac])
+    # no window: a row for each haplotype of a site is made only after the last exchange
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate") < plan.index("Exchange")
