@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import annotation as A
@@ -42,19 +42,24 @@ def mt_calls(sites: DataFrame, people: DataFrame, seed: int = 1) -> DataFrame:
     return people.select("sample", "lineage").join(drawn, "lineage").select("sample", "lineage", "chrom", "pos", "ref", "alt", "gt")
 
 
-def carriers(calls: DataFrame) -> DataFrame:
-    """Non-reference haplotypes only: site, hap (2 i and 2 i + 1 of person i), allele."""
+def carriers(calls: DataFrame, keys: tuple[str, ...] = ("site", "ord")) -> DataFrame:
+    """Non-reference haplotypes only: ``keys``, hap (2 i and 2 i + 1 of person i), allele."""
     person = F.substring("sample", 2, 10).cast("long")
     a = F.posexplode(F.transform(G.alleles(F.col("gt")), lambda x: x.try_cast("int"))).alias("h", "allele")
-    return calls.select("site", "ord", person.alias("person"), a).filter("allele > 0").select("site", "ord", (F.col("person") * 2 + F.col("h")).alias("hap"), "allele")
+    return calls.select(*keys, person.alias("person"), a).filter("allele > 0").select(*keys, (F.col("person") * 2 + F.col("h")).alias("hap"), "allele")
 
 
-def dense(sparse: DataFrame, spine: DataFrame) -> DataFrame:
-    """Phased genotypes of ``spine`` (site, ord, person) from carriers; absent haplotypes are reference."""
+def numbered(calls: DataFrame) -> DataFrame:
+    """Add ``twin``, from 1: which of the calls of the same site, ord and sample a call is. Those of equal genotypes may take each other's."""
+    return calls.withColumn("twin", F.row_number().over(Window.partitionBy("site", "ord", "sample").orderBy("gt")))
+
+
+def dense(sparse: DataFrame, spine: DataFrame, keys: tuple[str, ...] = ("site", "ord")) -> DataFrame:
+    """Phased genotypes of ``spine`` (``keys``, person) from carriers; absent haplotypes are reference. ``keys`` and the person must tell calls apart."""
     even = F.col("hap") % 2 == 0
-    own = sparse.groupBy("site", "ord", F.floor(F.col("hap") / 2).alias("person")).agg(F.max(F.when(even, F.col("allele"))).alias("a"), F.max(F.when(~even, F.col("allele"))).alias("b"))
+    own = sparse.groupBy(*keys, F.floor(F.col("hap") / 2).alias("person")).agg(F.max(F.when(even, F.col("allele"))).alias("a"), F.max(F.when(~even, F.col("allele"))).alias("b"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    return spine.join(own, ["site", "ord", "person"], "left").select("site", "ord", "person", F.concat(zero("a"), F.lit("|"), zero("b")).alias("gt"))
+    return spine.join(own, [*keys, "person"], "left").select(*keys, "person", F.concat(zero("a"), F.lit("|"), zero("b")).alias("gt"))
 
 
 def with_noise(calls: DataFrame, seed: int, flip: float = 0.001, dropout: float = 0.0005) -> DataFrame:

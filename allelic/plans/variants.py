@@ -139,8 +139,8 @@ def carriers_sparse(spark, sf_dir):
 
 @plan(f"WITH {CALLS} SELECT site, ord, CAST(substr(sample, 2) AS BIGINT) AS person, CASE WHEN gt = './.' THEN '0|0' ELSE gt END AS gt FROM calls")
 def dense_roundtrip(spark, sf_dir):
-    c = D.calls(spark, sf_dir)
-    return P.dense(P.carriers(c), c.select("site", "ord", F.substring("sample", 2, 10).cast("long").alias("person")))
+    c, keys = P.numbered(D.calls(spark, sf_dir).select("site", "ord", "sample", "gt")), ("site", "ord", "twin")
+    return P.dense(P.carriers(c, keys), c.select(*keys, F.substring("sample", 2, 10).cast("long").alias("person")), keys).drop("twin")
 
 
 @plan(f"""WITH {CALLS}, g AS (SELECT *, CASE WHEN is_high THEN 'HIGHLIGHTED' WHEN has_clnsig THEN 'CLINVAR' WHEN has_cosmic THEN 'COSMIC' WHEN is_sv THEN 'SV' WHEN id LIKE 'rs%' THEN 'RSID' END AS flag FROM calls WHERE gt <> '0|0')

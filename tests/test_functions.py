@@ -13,6 +13,7 @@ from allelic.functions import draws
 from allelic.functions import genotype as G
 from allelic.functions import variant as V
 from allelic.operators import catalogue, generate, matrix, person, report, scan, segments, summary
+from allelic.plans.catalogue import QUERIES
 from allelic.sources import vcf
 from allelic.streaming import emit
 
@@ -316,3 +317,12 @@ def test_haplotype_slots_move_no_haplotypes(spark):
     # no window: a row for each haplotype of a site is made only after the last exchange
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_dense_keeps_calls_of_one_key_apart(spark, tmp_path):
+    quantity = {"0|0": 1.0, "0|1": 4.0, "1|0": 6.0, "1|1": 7.0, "./.": 9.0}
+    given = [(1, "0|1"), (1, "1|0"), (1, "./."), (2, "1|1"), (2, "0|0"), (2, "1|1"), (3, "1|0"), (4, "0|0"), (4, "0|0")]
+    rows = [(o, 5, 7, 1, quantity[gt], "A") for o, gt in given]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["dense_roundtrip"](spark, str(tmp_path)).select("site", "ord", "person", "gt").collect()
+    assert sorted(map(tuple, got)) == sorted((5, o * 10 + 1, 7, "0|0" if gt == "./." else gt) for o, gt in given)
