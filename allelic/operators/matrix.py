@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
@@ -31,19 +33,82 @@ def f_statistic(matrix: DataFrame) -> DataFrame:
     return out.withColumn("f", F.round(1 - F.try_divide(F.col("obs_het"), F.col("exp_het")), 6))
 
 
+#: Samples of a word, words that are compared in one unrolled expression at most, and buckets that cover the longest distance.
+WORD, UNROLLED, BUCKETS = 64, 4, 4
+
+
+def called_cells(calls: DataFrame, rule=G.dosage) -> DataFrame:
+    """(sample, chrom, pos, dosage) of called cells, repeated ones too, for what takes the greatest of these itself."""
+    return calls.select("sample", "chrom", "pos", rule(F.col("gt")).cast("long").alias("dosage")).filter("dosage is not null")
+
+
+def site_planes(matrix: DataFrame, ploidy: int = 2) -> tuple[DataFrame, int]:
+    """A row for each site, and how many words a plane has: chrom, pos, and planes w0 .. w<ploidy>, arrays of words with a bit for each sample.
+
+    Plane 0 has the samples called at the site, plane k those with a dosage of k or more. The bits of repeated cells
+    are joined by OR, so the greatest dosage holds. The driver numbers the samples.
+    """
+    spark, kind = matrix.sparkSession, matrix.schema["sample"].dataType.simpleString()
+    known = matrix.filter("sample is not null and chrom is not null and pos is not null and dosage is not null")
+    names = sorted(r[0] for r in known.select("sample").distinct().collect())
+    index = spark.createDataFrame(list(zip(names, range(len(names)))), f"sample {kind}, _at int")
+    words = max(1, -(-len(names) // WORD))
+    d = F.when(F.col("dosage").between(0, ploidy), F.col("dosage")).otherwise(F.raise_error(F.lit("a dosage beyond the ploidy")).cast("long"))
+    # narrow rows go to their site's task, where the words are made
+    dealt = known.join(F.broadcast(index), "sample").select("chrom", "pos", "_at", d.alias("d")).repartition("chrom", "pos")
+    bit = F.expr(f"shiftleft(1L, _at % {WORD})")
+    if words <= UNROLLED:
+        # words that can't be null keep the pairs' code short enough to be compiled
+        zero = F.lit(0).cast("long")
+        word = lambda k, w: F.coalesce(F.bit_or(F.when((F.floor(F.col("_at") / WORD) == w) & (F.col("d") >= k), bit).otherwise(zero)), zero).alias(f"w{k}_{w}")
+        return dealt.groupBy("chrom", "pos").agg(*[word(k, w) for k in range(ploidy + 1) for w in range(words)]), words
+    each = dealt.groupBy("chrom", "pos", F.floor(F.col("_at") / WORD).cast("int").alias("_w")).agg(*[F.bit_or(F.when(F.col("d") >= k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(ploidy + 1)])
+    held = each.groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("_w", F.struct(*[f"b{k}" for k in range(ploidy + 1)])))).alias("m"))
+    all_words = F.sequence(F.lit(0), F.lit(words - 1))
+    plane = lambda k: F.transform(all_words, lambda w: F.coalesce(F.try_element_at(F.col("m"), w)[f"b{k}"], F.lit(0).cast("long"))).alias(f"w{k}")
+    return held.select("chrom", "pos", *[plane(k) for k in range(ploidy + 1)]), words
+
+
+def site_pairs(planes: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """Pairs of sites of a chromosome from ``shortest`` up to ``longest`` base pairs apart: chrom, p1, p2, and the columns of both, those of the second with a ``y``.
+
+    The distance is cut into BUCKETS; a site meets its own bucket and as many before it in a hash join, so no pair far outside the band is formed.
+    """
+    step, own = -(-longest // BUCKETS), [c for c in planes.columns if c not in ("chrom", "pos")]
+    at = F.floor(F.col("pos") / step)
+    left = planes.select("chrom", at.alias("bucket"), F.col("pos").alias("p1"), *own)
+    right = planes.select("chrom", F.explode(F.sequence(at - BUCKETS, at)).alias("bucket"), F.col("pos").alias("p2"), *[F.col(c).alias(f"y{c}") for c in own])
+    gap = F.col("p2") - F.col("p1")
+    return right.join(left.hint("shuffle_hash"), ["chrom", "bucket"]).filter((gap >= shortest) & (gap < longest)).drop("bucket")
+
+
+def pair_sums(pairs: DataFrame, words: int, ploidy: int = 2) -> DataFrame:
+    """n, sx, sy, sxx, syy, sxy of the samples called at both sites, from bits that two planes share; pairs of fewer than 4 are left out."""
+    up = range(1, ploidy + 1)
+
+    def shared(k: int, m: int) -> Column:
+        if words <= UNROLLED:
+            return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"w{k}_{w}").bitwiseAND(F.col(f"yw{m}_{w}"))) for w in range(words)]).cast("long")
+        return F.aggregate(F.zip_with(f"w{k}", f"yw{m}", lambda a, b: F.bit_count(a.bitwiseAND(b)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+
+    met = pairs.withColumn("n", shared(0, 0)).filter("n >= 4")
+    told = met.select("chrom", "p1", "p2", "n", *[shared(k, 0).alias(f"x{k}") for k in up], *[shared(0, k).alias(f"y{k}") for k in up], reduce(lambda a, b: a + b, [shared(k, m) for k in up for m in up]).alias("sxy"))
+    total = lambda c, weight: reduce(lambda a, b: a + b, [F.col(f"{c}{k}") * F.lit(weight(k)) for k in up])
+    one, square = (lambda k: 1), (lambda k: 2 * k - 1)
+    return told.select("chrom", "p1", "p2", "n", total("x", one).alias("sx"), total("y", one).alias("sy"), total("x", square).alias("sxx"), total("y", square).alias("syy"), "sxy")
+
+
 def pair_r2(matrix: DataFrame, longest: int = 500_000, shortest: int = 100) -> DataFrame:
     """r squared of site pairs of a chromosome from ``shortest`` up to ``longest`` base pairs apart, over samples called at both; null without variance.
 
-    The band is cut into buckets as wide as its longest distance: a row meets its own
-    and the next bucket only, in a hash join on (chrom, sample, bucket), so no pair outside the neighbourhood is ever
-    formed. Sums are integers, so their order doesn't matter.
+    Cells of a site are gathered to bits of samples first, so a pair of sites is one row of the join, whatever the number
+    of samples, and pairs are never moved. Dosages are 0 to 2; of repeated cells the greatest counts. Sums are integers, so their order doesn't matter.
     """
-    left = matrix.select("chrom", "sample", F.col("pos").alias("p1"), F.col("dosage").alias("x"), F.floor(F.col("pos") / longest).alias("bucket"))
-    right = matrix.select("chrom", "sample", F.col("pos").alias("p2"), F.col("dosage").alias("y"), F.explode(F.array(F.floor(F.col("pos") / longest), F.floor(F.col("pos") / longest) - 1)).alias("bucket"))
-    gap = F.col("p2") - F.col("p1")
-    pairs = left.join(right, ["chrom", "sample", "bucket"]).filter((gap >= shortest) & (gap < longest))
-    x, y = F.col("x"), F.col("y")
-    s = pairs.groupBy("chrom", "p1", "p2").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")).filter("n >= 4")
+    planes, words = site_planes(matrix)
+    return r2_of(pair_sums(site_pairs(planes, longest, shortest), words))
+
+
+def r2_of(s: DataFrame) -> DataFrame:
     cov = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")).cast("double")
     var = ((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))).cast("double")
     return s.select("chrom", "p1", "p2", "n", F.try_divide(cov * cov, var).alias("r2"))

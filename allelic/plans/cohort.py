@@ -194,12 +194,12 @@ BINS = "CASE " + " ".join(f"WHEN p2 - p1 >= {a} AND p2 - p1 < {b} THEN {i}" for
 
 @plan(f"WITH {CALLS}, {LD} SELECT chrom, p1, p2, n, round(r2, 6) AS r2 FROM ld")
 def ld_pairs_r2(spark, sf_dir):
-    return M.pair_r2(M.genotype_matrix(D.calls(spark, sf_dir))).withColumn("r2", F.round("r2", 6))
+    return M.pair_r2(M.called_cells(D.calls(spark, sf_dir))).withColumn("r2", F.round("r2", 6))
 
 
 @plan(f"WITH {CALLS}, {LD} SELECT CAST({BINS} AS BIGINT) AS bin, count(*) AS pairs, round(avg(r2), 6) AS mean_r2 FROM ld WHERE r2 IS NOT NULL GROUP BY 1")
 def ld_decay(spark, sf_dir):
-    return M.ld_decay(M.pair_r2(M.genotype_matrix(D.calls(spark, sf_dir))))
+    return M.ld_decay(M.pair_r2(M.called_cells(D.calls(spark, sf_dir))))
 
 
 @plan(f"""WITH {CALLS}, {LD}, q AS (SELECT *, {BINS} AS bin FROM ld WHERE r2 IS NOT NULL), s AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('7:ld:' || chrom || ':' || CAST(p1 AS VARCHAR) || ':' || CAST(p2 AS VARCHAR))) AS rn FROM q)
@@ -210,7 +210,7 @@ def ld_decay_sampled(spark, sf_dir):
 
     from ..functions import draws
 
-    pairs = M.pair_r2(M.genotype_matrix(D.calls(spark, sf_dir))).filter("r2 is not null")
+    pairs = M.pair_r2(M.called_cells(D.calls(spark, sf_dir))).filter("r2 is not null")
     at = None
     for i, (low, high) in enumerate(M.LD_BINS):
         test = (F.col("p2") - F.col("p1") >= low) & (F.col("p2") - F.col("p1") < high)

@@ -326,3 +326,21 @@ def test_dense_keeps_calls_of_one_key_apart(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["dense_roundtrip"](spark, str(tmp_path)).select("site", "ord", "person", "gt").collect()
     assert sorted(map(tuple, got)) == sorted((5, o * 10 + 1, 7, "0|0" if gt == "./." else gt) for o, gt in given)
+
+
+@pytest.mark.parametrize("samples", [5, 150, 300])
+def test_r2_gathers_samples_of_a_site(spark, samples):
+    dosage = {(i, p): d for i in range(samples) for p in range(0, 900, 150) if (d := (i * 31 + p * (i % 7 + 1)) % 4) < 3}
+    cells = [(f"s{i}", "1", p, d) for (i, p), d in dosage.items()] + [(f"s{i}", "1", p, 0) for i, p in dosage]
+    want = {}
+    for a in range(0, 900, 150):
+        for b in range(a + 150, min(a + 450, 900), 150):
+            xy = [(dosage[i, a], dosage[i, b]) for i in range(samples) if (i, a) in dosage and (i, b) in dosage]
+            if len(xy) >= 4:
+                n, sx, sy = len(xy), sum(x for x, _ in xy), sum(y for _, y in xy)
+                cov, vx, vy = n * sum(x * y for x, y in xy) - sx * sy, n * sum(x * x for x, _ in xy) - sx * sx, n * sum(y * y for _, y in xy) - sy * sy
+                want[a, b] = (n, cov * cov / (vx * vy) if vx * vy else None)
+    out = matrix.pair_r2(spark.createDataFrame(cells, "sample string, chrom string, pos long, dosage long"), longest=450)
+    assert {(r["p1"], r["p2"]): (r["n"], r["r2"]) for r in out.collect()} == want
+    # pairs stay where they meet
+    assert "p2" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
