@@ -114,13 +114,43 @@ def r2_of(s: DataFrame) -> DataFrame:
     return s.select("chrom", "p1", "p2", "n", F.try_divide(cov * cov, var).alias("r2"))
 
 
-def ld_decay(pairs: DataFrame) -> DataFrame:
-    """Mean r squared and pairs for each distance bin."""
+def ld_bin() -> Column:
+    """The number of the distance bin of a pair."""
     at = None
     for i, (low, high) in enumerate(LD_BINS):
         test = (F.col("p2") - F.col("p1") >= low) & (F.col("p2") - F.col("p1") < high)
         at = F.when(test, i) if at is None else at.when(test, i)
-    return pairs.filter("r2 is not null").groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("pairs"), F.round(F.avg("r2"), 6).alias("mean_r2"))
+    return at.cast("long")
+
+
+def sampled_pairs(matrix: DataFrame, most: int, key: Column, longest: int = 500_000, shortest: int = 100, ample: int = 20) -> DataFrame:
+    """Of each distance bin the ``most`` pairs with an r squared that are first by ``key``, an md5 of chrom, p1 and p2.
+
+    Only pairs whose key is below a limit are summed up and ranked. The limit is set by how many pairs the bin is
+    expected to have, to leave ``ample`` times as many as asked; a bin that is left with too few takes a higher one, all pairs in the end.
+    """
+    planes, words = site_planes(matrix)
+    near = site_pairs(planes, longest, shortest).withColumn("bin", ld_bin())
+    spans = [(r["n"], max(1, r["high"] - r["low"])) for r in planes.groupBy("chrom").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).collect()]
+    shares = [min(1.0, ample * most / max(1.0, sum(n * n * (high - low) / span for n, span in spans))) for low, high in LD_BINS]
+    while True:
+        limit = F.lit("g")  # beyond any hexadecimal digit
+        for i, share in enumerate(shares):
+            if share < 1:
+                limit = F.when(F.col("bin") == i, f"{int(share * 2**32):08x}").otherwise(limit)
+        drawn = r2_of(pair_sums(near.filter(key < limit), words)).filter("r2 is not null").withColumn("bin", ld_bin()).persist()
+        found = {r["bin"]: r["count"] for r in drawn.groupBy("bin").count().collect()}
+        few = [i for i, share in enumerate(shares) if share < 1 and found.get(i, 0) < most]
+        if not few:
+            break
+        drawn.unpersist()
+        shares = [min(1.0, share * 16) if i in few else share for i, share in enumerate(shares)]
+    return drawn.withColumn("rn", F.row_number().over(Window.partitionBy("bin").orderBy(key))).filter(F.col("rn") <= most).drop("bin", "rn")
+
+
+def ld_decay(pairs: DataFrame) -> DataFrame:
+    """Mean r squared and pairs for each distance bin."""
+    return pairs.filter("r2 is not null").groupBy(ld_bin().alias("bin")).agg(F.count("*").alias("pairs"), F.round(F.avg("r2"), 6).alias("mean_r2"))
 
 
 def gram(matrix: DataFrame) -> DataFrame:

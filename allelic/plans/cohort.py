@@ -206,18 +206,10 @@ def ld_decay(spark, sf_dir):
     SELECT CAST(bin AS BIGINT) AS bin, count(*) AS pairs, round(avg(r2), 6) AS mean_r2 FROM s WHERE rn <= 200 GROUP BY 1""")
 def ld_decay_sampled(spark, sf_dir):
     """Of each bin 200 pairs, drawn by hash order, as the sampled form of the statistic asks."""
-    from pyspark.sql import Window
-
     from ..functions import draws
 
-    pairs = M.pair_r2(M.called_cells(D.calls(spark, sf_dir))).filter("r2 is not null")
-    at = None
-    for i, (low, high) in enumerate(M.LD_BINS):
-        test = (F.col("p2") - F.col("p1") >= low) & (F.col("p2") - F.col("p1") < high)
-        at = F.when(test, i) if at is None else at.when(test, i)
-    order = Window.partitionBy("bin").orderBy(draws.order_key(7, "ld", F.col("chrom"), F.col("p1"), F.col("p2")))
-    drawn = pairs.withColumn("bin", at).withColumn("rn", F.row_number().over(order)).filter("rn <= 200")
-    return M.ld_decay(drawn.drop("bin", "rn"))
+    key = draws.order_key(7, "ld", F.col("chrom"), F.col("p1"), F.col("p2"))
+    return M.ld_decay(M.sampled_pairs(M.called_cells(D.calls(spark, sf_dir)), 200, key))
 
 
 @plan(f"""WITH {CALLS}, {GM}, mu AS (SELECT chrom, pos, avg(dosage) AS mean FROM gm GROUP BY 1, 2), c AS (SELECT chrom, pos, sample, dosage - mean AS c FROM gm JOIN mu USING (chrom, pos))

@@ -344,3 +344,13 @@ def test_r2_gathers_samples_of_a_site(spark, samples):
     assert {(r["p1"], r["p2"]): (r["n"], r["r2"]) for r in out.collect()} == want
     # pairs stay where they meet
     assert "p2" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+
+
+def test_sampled_pairs_are_the_first_by_key(spark):
+    cells = spark.createDataFrame([(f"s{i}", "1", p * 50, (i * 7 + p * (i % 5 + 1)) % 3) for i in range(8) for p in range(60)], "sample string, chrom string, pos long, dosage long")
+    key = draws.order_key(7, "ld", F.col("chrom"), F.col("p1"), F.col("p2"))
+    pairs = [tuple(r) for r in matrix.pair_r2(cells).withColumn("bin", matrix.ld_bin()).filter("r2 is not null").select("bin", key, "p1", "p2").collect()]
+    want = {x for i in {p[0] for p in pairs} for x in sorted(p for p in pairs if p[0] == i)[:10]}
+    for ample in (20, 1):  # with 1, limits have to rise
+        out = matrix.sampled_pairs(cells, 10, key, ample=ample)
+        assert {tuple(r) for r in out.select(matrix.ld_bin(), key, "p1", "p2").collect()} == want
