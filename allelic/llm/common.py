@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -65,6 +66,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Rows of Parquet that a task decodes at once: the texts of a batch lie in the heap together.
+READ_ROWS = 32
+
+
+@contextlib.contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """For what runs meanwhile, a task holds the texts of at most READ_ROWS rows of a Parquet file, however long they are; a lower setting of the session stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), READ_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

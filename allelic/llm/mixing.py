@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_reads
 
 #: Fixed value: what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,12 +19,26 @@ EVIDENCE = 12.0
 #: Posteriors are rounded to this step; documents of equal posteriors get equal rates.
 STEP = 1000
 ROUNDS, TOLERANCE = 40, 1e-6
+#: Characters after which a long text is cut at the end of the word, so that the words of one slice alone are held at once.
+SLICE_CHARS = 1 << 16
+
+
+def slices_of(text: str = "text") -> Column:
+    """The text in slices, none of which ends within a word; one empty slice of a null or empty text."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    cut = F.regexp_extract_all(whole, F.lit(rf"(?s).{{1,{SLICE_CHARS}}}[^\x20\x09-\x0D]*"), F.lit(0))
+    return F.when(F.octet_length(whole) > SLICE_CHARS, cut).otherwise(F.array(whole))
 
 
 def words_of(text: str = "text") -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), SPACES), lambda w: w != "")
 
 
+def marked(text: str) -> Column:
+    """The words of a slice (beside its place ``at``), and an end mark once for each text."""
+    return F.concat(words_of(text), F.when(F.col("at") == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+
+
 class DomainModel:
     """Naive Bayes over frequent words: a table of at most VOCABULARY rows (word, one log chance for each domain) and log priors."""
 
@@ -36,7 +50,8 @@ class DomainModel:
         # a share by hash rather than a sort, so that texts aren't moved to draw them
         share = min(1.0, rows / max(1, count))
         drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-        counted = save(drawn.select("domain", F.explode(F.array_append(words_of(), F.lit(""))).alias("word")).groupBy("domain", "word").agg(F.count("*").alias("n")), "domain-words")
+        sliced = drawn.select("domain", F.posexplode(slices_of()).alias("at", "slice"))
+        counted = save(sliced.select("domain", F.explode(marked("slice")).alias("word")).groupBy("domain", "word").agg(F.count("*").alias("n")), "domain-words")
         totals = {r["domain"]: (r["words"], r["rows"]) for r in counted.groupBy("domain").agg(F.sum(F.when(F.col("word") != "", F.col("n"))).alias("words"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("rows")).collect()}
         at = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)) for d in domains]
         chance = [F.log((a + 0.5) / ((totals.get(d, (0, 0))[0] or 0) + 0.5 * VOCABULARY)).alias(f"l{k}") for k, (a, d) in enumerate(zip(at, domains, strict=True))]
@@ -52,13 +67,19 @@ class DomainModel:
 
         Words meet the broadcast model table and are summed before the shuffle, which moves one
         row for each document and task. Rows that share doc_id and text are summed together and told apart again by their number of end marks.
+        Long texts go slice by slice; each slice has a mark with its number of words, and the marks of first slices tell the number of rows.
         """
         k = range(len(self.domains))
-        split = docs.select("doc_id", words_of().alias("words"), F.xxhash64("text").alias("text_hash"))
-        told = split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_tokens"), F.explode(F.array_append("words", F.lit(""))).alias("word"))
+        key = ["doc_id", "text_hash", "bytes"]
+        sliced = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length(F.col("text").cast("string")).alias("bytes"), F.posexplode(slices_of()).alias("at", "slice"))
+        split = sliced.select(*key, "at", words_of("slice").alias("words"))
+        told = split.select(*key, "at", F.size("words").cast("long").alias("n"), F.explode(F.array_append("words", F.lit(""))).alias("word"))
         met = told.join(F.broadcast(self.table), "word")
-        sums = met.groupBy("doc_id", "text_hash", "n_tokens").agg(F.sum((F.col("word") == "").cast("int")).alias("same"), F.count("*").alias("known"), *[F.sum(f"l{i}").alias(f"l{i}") for i in k])
-        known = F.col("known") / F.col("same") - 1
+        mark = F.col("word") == ""
+        same, n_tokens, known = F.sum((mark & (F.col("at") == 0)).cast("int")), F.sum(F.when(mark, F.col("n"))), F.sum((~mark).cast("int"))
+        sums = met.groupBy(*key).agg(same.alias("same"), n_tokens.alias("n_tokens"), known.alias("known"), *[F.sum(f"l{i}").alias(f"l{i}") for i in k])
+        sums = sums.withColumn("n_tokens", (F.col("n_tokens") / F.col("same")).cast("long"))
+        known = F.col("known") / F.col("same")
         soft = F.when(known > EVIDENCE, EVIDENCE / known).otherwise(1.0) / F.col("same")
         z = F.array(*[F.col(f"l{i}") * soft + F.lit(self.priors[i]) for i in k])
         out = sums.select("doc_id", "n_tokens", "same", z.alias("z")).withColumn("top", F.array_max("z"))
@@ -128,7 +149,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tokens:
     empty table gives an empty result. Other columns are ignored.
     """
     domains = sorted(targets)
-    scored = save(DomainModel(labelled, domains).posteriors(docs), "mix-scored")
+    with small_reads(docs.sparkSession):
+        scored = save(DomainModel(labelled, domains).posteriors(docs), "mix-scored")
     history = fit_rates(scored, [targets[d] for d in domains], tokens, least)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     out = scored.withColumn("rate", rate(history, least))

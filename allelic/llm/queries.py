@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, mixing, near_dedup, packing, preferences, quality, sharding, token_files, toxicity
-from .common import crc32_of_id, new_path, table
+from .common import BROADCAST_IDS, crc32_of_id, new_path, save, table
 
 
 def tokenizer(name: str) -> str:
@@ -52,9 +52,10 @@ TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents, with their language as the domain. The ids of labels are few beside the texts, which stay in place if Spark finds them so."""
+    """Labelled documents, with their language as the domain. The ids of labels are few beside the texts, which stay in place unless there are over BROADCAST_IDS."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = save(table(spark, sf_dir, "labels").select("doc_id").distinct(), "labelled-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def op7_mix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
