@@ -67,7 +67,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 #: Rows of Parquet that a task decodes at once: the texts of a batch lie in the heap together.
-READ_ROWS = 32
+READ_ROWS = 8
+
+
+def small_texts(spark: SparkSession) -> None:
+    """From now on a task decodes at most READ_ROWS rows of Parquet at once, and looks at the size of the page it writes from the first row on, not after 100: long texts in its heap are few. Lower settings of the session stay."""
+    for name, most, usual in (("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS, "4096"), ("parquet.page.size.row.check.min", 1, "100")):
+        if int(spark.conf.get(name, usual)) > most:
+            spark.conf.set(name, str(most))
 
 
 @contextlib.contextmanager

@@ -26,7 +26,7 @@ SLICE_CHARS = 1 << 16
 def slices_of(text: str = "text") -> Column:
     """The text in slices, none of which ends within a word; one empty slice of a null or empty text."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    cut = F.regexp_extract_all(whole, F.lit(rf"(?s).{{1,{SLICE_CHARS}}}[^\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.regexp_extract_all(whole, F.lit(rf"(?s).{{1,{SLICE_CHARS}}}+[^\x20\x09-\x0D]*+"), F.lit(0))
     return F.when(F.octet_length(whole) > SLICE_CHARS, cut).otherwise(F.array(whole))
 
 
@@ -71,7 +71,9 @@ class DomainModel:
         """
         k = range(len(self.domains))
         key = ["doc_id", "text_hash", "bytes"]
-        sliced = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length(F.col("text").cast("string")).alias("bytes"), F.posexplode(slices_of()).alias("at", "slice"))
+        # the text ends below the generator: what needs it above would put it beside each of its slices
+        cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length(F.col("text").cast("string")).alias("bytes"), slices_of().alias("slices"))
+        sliced = cut.select(*key, F.posexplode("slices").alias("at", "slice"))
         split = sliced.select(*key, "at", words_of("slice").alias("words"))
         told = split.select(*key, "at", F.size("words").cast("long").alias("n"), F.explode(F.array_append("words", F.lit(""))).alias("word"))
         met = told.join(F.broadcast(self.table), "word")
