@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..functions import genotype as G
 
 #: Distance bins of the decay of linkage, in base pairs.
@@ -123,28 +124,58 @@ def ld_bin() -> Column:
     return at.cast("long")
 
 
-def sampled_pairs(matrix: DataFrame, most: int, key: Column, longest: int = 500_000, shortest: int = 100, ample: int = 20) -> DataFrame:
+#: First sites of a bucket that are hashed with all that may follow them in one row.
+DEALT = 256
+
+
+def low_pairs(planes: DataFrame, start: str, limits: list[int]) -> DataFrame:
+    """(chrom, p1, p2) of the pairs of LD_BINS whose md5 of ``start``:chrom:p1:p2 begins with four bytes below their bin's limit.
+
+    Places alone are dealt into buckets, those of first sites in runs of DEALT; Python workers hash a run's pairs by numpy and hand on the few low ones.
+    """
+    spark, step = planes.sparkSession, -(-LD_BINS[-1][1] // BUCKETS)
+    at = F.floor(F.col("pos") / step)
+    first = planes.select("chrom", at.alias("bucket"), "pos").groupBy("chrom", "bucket").agg(F.sort_array(F.collect_list("pos")).alias("p1"))
+    second = planes.select("chrom", F.explode(F.sequence(at - BUCKETS, at)).alias("bucket"), "pos").groupBy("chrom", "bucket").agg(F.collect_list("pos").alias("p2"))
+    # a site's bucket and as many after it hold all that may follow it
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("p1") - 1) / DEALT).cast("int")), lambda i: F.slice("p1", i * DEALT + 1, DEALT))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = first.join(second, ["chrom", "bucket"]).select("chrom", F.explode(runs).alias("p1"), "p2").repartition(parts)
+    return dealt.mapInArrow(partial(digests.low_sites, start=start, bins=LD_BINS, limits=limits), "chrom string, p1 long, p2 long")
+
+
+def sampled_pairs(matrix: DataFrame, most: int, key: Column, longest: int = 500_000, shortest: int = 100, ample: int = 20, start: str | None = None) -> DataFrame:
     """Of each distance bin the ``most`` pairs with an r squared that are first by ``key``, an md5 of chrom, p1 and p2.
 
     Only pairs whose key is below a limit are summed up and ranked. The limit is set by how many pairs the bin is
     expected to have, to leave ``ample`` times as many as asked; a bin that is left with too few takes a higher one, all pairs in the end.
+    ``start``: what ``key`` has before chrom, p1 and p2; where it is given, and the distances are those of LD_BINS, keys are hashed many at once.
     """
     planes, words = site_planes(matrix)
+    planes = planes.persist()
+    fast = start is not None and (shortest, longest) == (LD_BINS[0][0], LD_BINS[-1][1])
     near = site_pairs(planes, longest, shortest).withColumn("bin", ld_bin())
     spans = [(r["n"], max(1, r["high"] - r["low"])) for r in planes.groupBy("chrom").agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).collect()]
     shares = [min(1.0, ample * most / max(1.0, sum(n * n * (high - low) / span for n, span in spans))) for low, high in LD_BINS]
-    while True:
-        limit = F.lit("g")  # beyond any hexadecimal digit
-        for i, share in enumerate(shares):
-            if share < 1:
-                limit = F.when(F.col("bin") == i, f"{int(share * 2**32):08x}").otherwise(limit)
-        drawn = r2_of(pair_sums(near.filter(key < limit), words)).filter("r2 is not null").withColumn("bin", ld_bin()).persist()
+    todo, parts = list(range(len(LD_BINS))), []
+    while todo:
+        if fast:
+            low = low_pairs(planes, start, [0 if i not in todo else int(share * 2**32) if share < 1 else 2**32 for i, share in enumerate(shares)])
+            own = [c for c in planes.columns if c not in ("chrom", "pos")]
+            met = low.join(planes.withColumnRenamed("pos", "p1"), ["chrom", "p1"]).join(planes.select("chrom", F.col("pos").alias("p2"), *[F.col(c).alias(f"y{c}") for c in own]), ["chrom", "p2"])
+        else:
+            limit = F.lit("g")  # beyond any hexadecimal digit
+            for i, share in enumerate(shares):
+                if share < 1:
+                    limit = F.when(F.col("bin") == i, f"{int(share * 2**32):08x}").otherwise(limit)
+            met = near.filter(F.col("bin").isin(todo) & (key < limit))
+        drawn = r2_of(pair_sums(met, words)).filter("r2 is not null").withColumn("bin", ld_bin()).persist()
         found = {r["bin"]: r["count"] for r in drawn.groupBy("bin").count().collect()}
-        few = [i for i, share in enumerate(shares) if share < 1 and found.get(i, 0) < most]
-        if not few:
-            break
-        drawn.unpersist()
+        few = [i for i in todo if shares[i] < 1 and found.get(i, 0) < most]
+        parts.append(drawn.filter(~F.col("bin").isin(few)) if few else drawn)
         shares = [min(1.0, share * 16) if i in few else share for i, share in enumerate(shares)]
+        todo = few
+    drawn = reduce(DataFrame.unionByName, parts)
     return drawn.withColumn("rn", F.row_number().over(Window.partitionBy("bin").orderBy(key))).filter(F.col("rn") <= most).drop("bin", "rn")
 
 

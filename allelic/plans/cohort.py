@@ -209,7 +209,7 @@ def ld_decay_sampled(spark, sf_dir):
     from ..functions import draws
 
     key = draws.order_key(7, "ld", F.col("chrom"), F.col("p1"), F.col("p2"))
-    return M.ld_decay(M.sampled_pairs(M.called_cells(D.calls(spark, sf_dir)), 200, key))
+    return M.ld_decay(M.sampled_pairs(M.called_cells(D.calls(spark, sf_dir)), 200, key, start="7:ld"))
 
 
 @plan(f"""WITH {CALLS}, {GM}, mu AS (SELECT chrom, pos, avg(dosage) AS mean FROM gm GROUP BY 1, 2), c AS (SELECT chrom, pos, sample, dosage - mean AS c FROM gm JOIN mu USING (chrom, pos))

@@ -354,3 +354,12 @@ def test_sampled_pairs_are_the_first_by_key(spark):
     for ample in (20, 1):  # with 1, limits have to rise
         out = matrix.sampled_pairs(cells, 10, key, ample=ample)
         assert {tuple(r) for r in out.select(matrix.ld_bin(), key, "p1", "p2").collect()} == want
+
+
+def test_sampled_pairs_hashed_many_at_once(spark):
+    places = {"1": [1, 9, *range(50, 3000, 50), 99_990, 100_050, 499_000, 500_001, 1_000_100], "HLA*" + "x" * 50: range(50, 1500, 50)}
+    cells = spark.createDataFrame([(f"s{i}", c, p, (i * 7 + p * (i % 5 + 1)) % 3) for i in range(8) for c, ps in places.items() for p in ps], "sample string, chrom string, pos long, dosage long")
+    key = draws.order_key(7, "ld", F.col("chrom"), F.col("p1"), F.col("p2"))
+    rows = lambda start, ample: {tuple(r) for r in matrix.sampled_pairs(cells, 10, key, ample=ample, start=start).collect()}
+    for ample in (20, 1):
+        assert rows("7:ld", ample) == rows(None, 20)
